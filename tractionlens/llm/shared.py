@@ -117,6 +117,19 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
+_EDGE = np.zeros(256, bool)
+_EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def trimmed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without ASCII punctuation at their ends; one byte of a word always stays."""
+    while len(starts) and (cut := _EDGE[buf[ends - 1]] & (ends - starts > 1)).any():
+        ends = ends - cut
+    while len(starts) and (cut := _EDGE[buf[starts]] & (ends - starts > 1)).any():
+        starts = starts + cut
+    return starts, ends
+
+
 _COEFFICIENTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 

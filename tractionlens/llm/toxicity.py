@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import Hasher, byte_slices, word_spans
+from tractionlens.llm.shared import Hasher, byte_slices, trimmed, word_spans
 
 SCORES = "doc_id long, severity double, grade int, toxic boolean"
 
@@ -24,11 +24,7 @@ class Ordinal(NamedTuple):
 def _features(buf: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) for every word, A-Z lower-cased and stripped of ASCII punctuation at its ends, hashed."""
     starts, ends, counts = word_spans(buf, offs)
-    edge = ((buf >= 33) & (buf <= 47)) | ((buf >= 58) & (buf <= 64)) | ((buf >= 91) & (buf <= 96)) | ((buf >= 123) & (buf <= 126))
-    while len(starts) and (trim := edge[ends - 1] & (ends - starts > 1)).any():
-        ends = ends - trim
-    while len(starts) and (trim := edge[starts] & (ends - starts > 1)).any():
-        starts = starts + trim
+    starts, ends = trimmed(buf, starts, ends)
     owner = np.repeat(np.arange(len(offs) - 1), np.diff(counts))
     return owner, (Hasher(buf, lower=True).of(starts, ends) % np.uint64(buckets)).astype(np.int64)
 
