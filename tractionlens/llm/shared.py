@@ -145,7 +145,8 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     out, doc = mix(out[whole]), owner[:m][whole]
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        extra = np.array([np.sum(hashes[counts[i] : counts[i + 1]] * _COEFFICIENTS[: n[i]], dtype=np.uint64) + _COEFFICIENTS[40 + n[i] % 20] for i in short], np.uint64)
+        extra = np.array([np.sum(hashes[counts[i] : counts[i + 1]] * _COEFFICIENTS[: n[i]], dtype=np.uint64) for i in short], np.uint64)
+        extra += _COEFFICIENTS[40 + n[short] % 20]
         out, doc = np.concatenate([out, mix(extra)]), np.concatenate([doc, short])
         order = np.argsort(doc, kind="stable")
         out, doc = out[order], doc[order]
