@@ -35,14 +35,17 @@ def quality_rules(
     max_lost: float = 0.5,
     min_words: int = 50,
     max_repeat_percent: int = 50,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, text, clean_text, n_lines, n_failed_lines, the base counts, base_failed, kept.
 
     Verdict: kept if not base_failed and the failed lines hold at most `max_lost` of the characters (without white
     space) of all lines. Null or empty text: no words, base_failed, not kept, clean_text ''. Repeated rows are judged
-    each by itself; only doc_id and text are read, so other columns may have any name. No shuffle: every rule sees one row."""
+    each by itself; only doc_id and text are read, so other columns may have any name. No shuffle: every rule sees one row.
+    `carry` adds the input row as the struct column input_row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text"))
+    carried = [F.struct("*").alias("input_row")] if carry else []
+    df = docs.select("doc_id", text.alias("text"), *carried)
     df = df.withColumns({"_words": words(F.col("text")), "_lines": F.split("text", "\n", -1)})
     triples = F.when(
         F.size("_words") >= 3,
@@ -67,6 +70,7 @@ def quality_rules(
         F.size(full).cast("long").alias("n_lines"),
         F.size(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("n_failed_lines"),
         solid(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("lost_chars"),
+        *(["input_row"] if carry else []),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * max_lost))
