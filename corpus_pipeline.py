@@ -37,7 +37,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     cut = repeated_strings(docs).where("n_removed > 0").select("doc_id", "sha", "kept_text").dropDuplicates(["doc_id", "sha"])
     keyed = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     out = keyed.join(cut, ["doc_id", "sha"], "left")
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("kept_text").cast("string")), "�", "")))
+    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept_text").cast("string")), "\ufffd", ""))
     return out.select(*_with_text(text)).where("text IS NULL OR text <> ''")
 
 

@@ -58,9 +58,7 @@ def quality_rules(
     covered = F.size(F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2)))))
     full = F.filter("_judged", lambda x: x["full"])
     solid = lambda xs: F.length(F.translate(F.array_join(F.transform(xs, lambda x: x["line"]), ""), SPACES, ""))
-    df = df.select(
-        "doc_id",
-        "text",
+    counts = (
         F.array_join(F.transform(F.filter("_judged", lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text"),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
@@ -70,8 +68,9 @@ def quality_rules(
         F.size(full).cast("long").alias("n_lines"),
         F.size(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("n_failed_lines"),
         solid(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("lost_chars"),
-        *(["input_row"] if carry else []),
     )
+    # a generator over one row: a filter on the counts then stays above it, and the rules run once
+    df = df.select("doc_id", "text", *(["input_row"] if carry else []), F.inline(F.array(F.struct(*counts))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * max_lost))
 
