@@ -66,10 +66,11 @@ def _strings(table: pa.Table | pa.RecordBatch, length: int):
     for _, _, buf, offs in byte_slices(table, "text", 1 << 62):
         starts, sampled, _ = _sampled(buf, offs, length)
         unique = np.unique(sampled)
-        base = np.searchsorted(unique, offs[:-1])
+        base = np.searchsorted(unique, offs)
         wanted = np.zeros(len(unique), bool)
-        for b, js in zip(base, table.column(table.schema.get_field_index("js"))):
-            wanted[b + np.frombuffer(js.as_buffer(), np.int32)] = True
+        for a, b, js in zip(base, base[1:], table.column(table.schema.get_field_index("js"))):
+            at = a + np.frombuffer(js.as_buffer(), np.int32)
+            wanted[at[at < b]] = True
         starts = starts[wanted[np.searchsorted(unique, sampled)]]
         return starts, Hasher(buf, which=1).of(starts, starts + length), offs, buf
     return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
@@ -102,17 +103,19 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
 
     def explode(batches):
         for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
             n = np.array([len(p) for p in parts])
             if n.sum():
                 row = np.repeat(np.arange(len(n)), n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["doc_id", "s", "j", "name"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["doc_id", "j", "name"])
 
-    flat = long.select("doc_id", F.xxhash64("sha").alias("s"), "names").mapInArrow(explode, "doc_id long, s long, j int, name long")
+    flat = long.select("doc_id", "names").mapInArrow(explode, "doc_id long, j int, name long")
     again = flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    chosen = flat.join(again, "name").groupBy("doc_id", "s").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    texts = base.join(chosen, "doc_id").where(F.xxhash64("sha") == F.col("s")).dropDuplicates(["doc_id", "s"])
+    chosen = flat.join(again, "name").groupBy("doc_id").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    # several texts of one doc_id are all compared, at the positions of each: more than needed, and never less
+    texts = base.select("doc_id", "text").where(F.octet_length("text") >= length).join(chosen, "doc_id")
+    texts = texts.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
 
     def slices(batches):
         number, size = TaskContext.get().partitionId() << 32, 0
@@ -182,7 +185,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
         return pa.table({"sha": batch.column(batch.schema.get_field_index("sha")), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": sha, "kept_text": pa.array(kept, pa.binary())})
 
     marked = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(mark, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
-    marked = written(marked, "marked").where("n_removed > 0")
+    marked = written(marked, "marked").where("n_removed > 0").dropDuplicates(["sha"])
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     rows = named.select("doc_id", "sha", "n_bytes").join(classes.select("sha", "copies"), "sha").join(marked, "sha", "left")
     return rows.select(
