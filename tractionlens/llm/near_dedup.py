@@ -91,7 +91,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, small: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """(classes of equal sets with their representative, links between representatives that join all their components).
 
-    A value's list is worked off from a pivot: all members are compared with it, which settles lists whose members are all
+    A value's list is worked off from a pivot, its member with the most common values: all members are compared with it, which settles lists whose members are all
     near copies of one text in as many pairs as members. What a pivot leaves open (members of other components) is
     compared in later rounds: short lists at once, long ones from a new pivot, and after `pivots` rounds all that is still
     open, so no pair that could join two components stays untested."""
@@ -117,14 +117,18 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, sma
     ordered = F.sort_array(F.collect_list(F.struct("df", "v")))
     lists = flat.groupBy("rep", "n").agg(ordered.alias("vs"))
     alone = kept - F.size("vs")  # values that no other sketch has come first
+    # a text near the middle of a group has the values that most others have
+    lists = lists.withColumn("weight", F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"]))
     lists = lists.withColumn("vs", F.slice("vs", F.lit(1), F.greatest(F.lit(0), (kept - need + 1 - alone).cast("int"))))
-    lists = written(lists.select("rep", "n", F.explode("vs.v").alias("v")), "lists")
+    lists = written(lists.select("rep", "n", "weight", F.explode("vs.v").alias("v")), "lists")
+    heaviest = F.max(F.struct("weight", (-F.col("rep")).alias("key"), "rep", "n")).alias("p")
 
     near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
     least = max(0.0, share - 0.3)
-    head = lists.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    head = lists.groupBy("v").agg(heaviest, F.count("*").alias("m")).where("m > 1")
+    used = head.select("v", F.col("p.rep").alias("rep"))
     pairs = lists.join(head, "v").where(F.col("rep") != F.col("p.rep")).where(near(F.col("n"), F.col("p.n")))
-    pairs = pairs.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
     tested = written(pairs, "pairs")
     wanted = lists.join(head.select("v"), "v", "left_semi").select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
@@ -134,23 +138,23 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, sma
     found = check(tested)
     for step in range(pivots + 1):
         named = components(found)
-        now = lists.join(named, lists.rep == named.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        now = lists.join(named, lists.rep == named.id, "left").select("v", "rep", "n", "weight", F.coalesce("component", "rep").alias("c"))
         open_lists = now.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 2 AND c1 <> c2")
-        now = written(now.join(open_lists.select("v", "m", "c1"), "v"), "open")
+        now = written(now.join(open_lists.select("v", "m"), "v"), "open")
+        short = now
         if step < pivots:
-            first = now.where((F.col("m") > small) & (F.col("c") != F.col("c1")))
-            first = first.groupBy("v").agg(F.min(F.struct("rep", "n", "c")).alias("p"))
+            first = now.where(F.col("m") > small).join(used, ["v", "rep"], "left_anti")
+            first = written(first.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("key"), "rep", "n", "c")).alias("p")), "pivots")
+            used = used.union(first.select("v", F.col("p.rep").alias("rep")))
             more = now.join(first, "v").where((F.col("c") != F.col("p.c")) & near(F.col("n"), F.col("p.n")))
             more = more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
             short = now.where(F.col("m") <= small)
-        else:
-            more, short = None, now
         x, y = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
         rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b")
-        new = (rest if more is None else rest.union(more)).distinct().join(tested, ["a", "b"], "left_anti")
+        new = (rest.union(more) if step < pivots else rest).distinct().join(tested, ["a", "b"], "left_anti")
         new = written(new, "pairs")
         if not new.limit(1).count():
-            if step == pivots or not open_lists.where(F.col("m") > small).limit(1).count():
+            if step == pivots or not now.where(F.col("m") > small).limit(1).count():
                 break
             continue
         tested = tested.union(new)
@@ -158,7 +162,7 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, sma
     return classes, found
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 64, small: int = 32, pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 64, small: int = 32, pivots: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are A-Z lower-cased runs of non-space; a set holds the distinct k-word shingles, a text of fewer words its whole
