@@ -88,13 +88,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, small: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def _blockwise(groups: DataFrame, texts: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Links between members (p, rep, c) of a group p that lie in different components c. A group is cut into blocks by hash;
+    each pair of blocks is one task's work of bounded size."""
+    sizes = groups.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "p").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "c").join(texts, "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        rep, c = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("rep", "c"))
+        values, sizes = [], []
+        for _, _, buf, offs in byte_slices(batch, "text"):
+            v, at = shingle_sets(buf, offs, k)
+            values.append(v)
+            sizes.append(np.diff(at))
+        n = np.concatenate(sizes)
+        if (c == c[0]).all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        _, of, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        shared = count[of] > 1
+        slot = np.cumsum(count > 1) - 1
+        column, owner = slot[of[shared]], owner[shared]
+        common = np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for lo in range(0, int((count > 1).sum()), 4096):
+            part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            m = np.zeros((len(n), 4096), np.float32)
+            m[owner[part], column[part] - lo] = 1
+            common += m @ m.T
+        x, y = np.nonzero((100 * common >= percent * (n[:, None] + n[None, :] - common)) & (rep[:, None] < rep[None, :]) & (c[:, None] != c[None, :]) & (common > 0))
+        return pa.table({"a": rep[x], "b": rep[y]})
+
+    return dealt.groupBy("p", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, small: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(classes of equal sets with their representative, links between representatives that join all their components).
 
     A value's list is worked off from a pivot, its member with the most common values: all members are compared with it, which settles lists whose members are all
-    near copies of one text in as many pairs as members. What a pivot leaves open (members of other components) is
-    compared in later rounds: short lists at once, long ones from a new pivot, and after `pivots` rounds all that is still
-    open, so no pair that could join two components stays untested."""
+    near copies of one text in as many pairs as members. What it leaves open (lists that still span components) is compared
+    without emitting pairs: short lists by a join on the value, long ones in blocks of `block` by `block` members, from which
+    only links come out. So no pair that could join two components stays untested."""
     share = percent / 100
     classes = written(sets.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sets.join(classes, ["n_shingles", "f1", "f2"], "left_semi").join(classes.select("rep", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"])
@@ -126,7 +164,6 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, sma
     near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
     least = max(0.0, share - 0.3)
     head = lists.groupBy("v").agg(heaviest, F.count("*").alias("m")).where("m > 1")
-    used = head.select("v", F.col("p.rep").alias("rep"))
     pairs = lists.join(head, "v").where(F.col("rep") != F.col("p.rep")).where(near(F.col("n"), F.col("p.n")))
     pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
     tested = written(pairs, "pairs")
@@ -136,33 +173,20 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, sma
     texts = written(texts.dropDuplicates(["rep"]), "texts")
     check = lambda p: written(_verified(_estimated(p, reps, size, least), texts, k, percent), "links")
     found = check(tested)
-    for step in range(pivots + 1):
-        named = components(found)
-        now = lists.join(named, lists.rep == named.id, "left").select("v", "rep", "n", "weight", F.coalesce("component", "rep").alias("c"))
-        open_lists = now.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 2 AND c1 <> c2")
-        now = written(now.join(open_lists.select("v", "m"), "v"), "open")
-        short = now
-        if step < pivots:
-            first = now.where(F.col("m") > small).join(used, ["v", "rep"], "left_anti")
-            first = written(first.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("key"), "rep", "n", "c")).alias("p")), "pivots")
-            used = used.union(first.select("v", F.col("p.rep").alias("rep")))
-            more = now.join(first, "v").where((F.col("c") != F.col("p.c")) & near(F.col("n"), F.col("p.n")))
-            more = more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-            short = now.where(F.col("m") <= small)
-        x, y = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b")
-        new = (rest.union(more) if step < pivots else rest).distinct().join(tested, ["a", "b"], "left_anti")
-        new = written(new, "pairs")
-        if not new.limit(1).count():
-            if step == pivots or not now.where(F.col("m") > small).limit(1).count():
-                break
-            continue
-        tested = tested.union(new)
-        found = found.union(check(new))
-    return classes, found
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 64, small: int = 32, pivots: int = 2) -> DataFrame:
+    named = components(found)
+    now = lists.join(named, lists.rep == named.id, "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    still = now.groupBy("v").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 2 AND c1 <> c2")
+    now = written(now.join(still.select("v", "m"), "v"), "open")
+    short = now.where(F.col("m") <= small)
+    x, y = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b")
+    rest = written(rest.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    # long lists with one pivot are one group, so that a pair that shares many of them is compared once
+    groups = now.where(F.col("m") > small).join(head.select("v", F.col("p.rep").alias("p")), "v").select("p", "rep", "c").distinct()
+    return classes, found.union(check(rest)).union(written(_blockwise(groups, texts, k, percent, block), "links"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int = 64, small: int = 32, block: int = 256) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are A-Z lower-cased runs of non-space; a set holds the distinct k-word shingles, a text of fewer words its whole
@@ -173,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     Equal sets become one class first. Two texts above the threshold share at least 0.4 * size of the `size` values of their
     sketches except with a chance below 1e-9 a pair (sets up to 0.8 * size are kept whole: no chance at all)."""
     sets = written(sketches(docs, k, size), "sets")
-    classes, found = links(docs, sets, k, percent, size, small, pivots)
+    classes, found = links(docs, sets, k, percent, size, small, block)
     named = components(found)
     group = classes.join(named, classes.rep == named.id, "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_c"))
     out = sets.select("doc_id", "n_shingles", "f1", "f2").join(group, ["n_shingles", "f1", "f2"], "left")
