@@ -82,7 +82,7 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about `limit` bytes; a longer text is a run of its own. Null is empty."""
     texts = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):

@@ -83,7 +83,7 @@ def _parted(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, n
     return distinct, of, np.searchsorted(distinct // width, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 << 21, bucket_strings: int = 1_500_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 << 20, bucket_strings: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (binary).
 
     Texts are UTF-8 bytes; null is empty. Every byte that lies in a `length`-byte string that also starts elsewhere, in any
