@@ -29,7 +29,7 @@ def streaks(df: DataFrame, inactive_from: int = 10) -> DataFrame:
     """Newest consecutive failures of each pattern. The newest success is one aggregate; failures after it are another, so no window sorts a hot pattern."""
     at = F.struct("tracked_at", "event_id")
     last = df.where(F.col("performance") != "failed").groupBy("pattern_id").agg(F.max(at).alias("ok"))
-    g = df.join(F.broadcast(last), "pattern_id", "left").groupBy("pattern_id").agg(F.count_if(F.col("ok").isNull() | (at > F.col("ok"))).alias("streak"))
+    g = df.join(last, "pattern_id", "left").groupBy("pattern_id").agg(F.count_if(F.col("ok").isNull() | (at > F.col("ok"))).alias("streak"))
     return g.select("pattern_id", "streak", F.when(F.col("streak") >= inactive_from, "inactive").otherwise("active").alias("status"))
 
 
