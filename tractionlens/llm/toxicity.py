@@ -70,21 +70,21 @@ def fit(rows: list[tuple[int, np.ndarray]], buckets: int, min_z: float, epochs:
     if y.max() <= 1:
         marks = np.array([(z[x] >= min_z).sum() if t else 0 for t, x in rows])
         y = np.where(bad, np.where(marks > np.median(marks[bad]), 2, 1), 0)
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, (_, f) in enumerate(rows):
-        hit = slot[f]
-        x[i, hit[hit >= 0]] = 1
+    # the texts are sparse: (text, kept feature) pairs in place of a matrix
+    row = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
+    column = slot[np.concatenate([f for _, f in rows])]
+    row, column = row[column >= 0], column[column >= 0]
     top = int(y.max())
     w, theta = np.zeros(len(kept)), np.linspace(0.5, 1.5, top)
     step_w, step_t = np.full(len(kept), 1e-8), np.full(top, 1e-8)
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -40, 40)))
     for _ in range(epochs):
-        s = x @ w
+        s = np.bincount(row, w[column], len(y))
         cuts = np.concatenate([[-np.inf], theta, [np.inf]])
         upper, lower = sigmoid(cuts[y + 1] - s), sigmoid(cuts[y] - s)
         upper[y == top], lower[y == 0] = 1, 0
         gap = np.maximum(upper - lower, 1e-9)
-        g = x.T @ (1 - upper - lower) / len(y) + l2 * w
+        g = np.bincount(column, (1 - upper - lower)[row], len(w)) / len(y) + l2 * w
         du, dl = upper * (1 - upper) / gap, lower * (1 - lower) / gap
         gt = np.array([(dl[y == k + 1].sum() - du[y == k].sum()) / len(y) for k in range(top)])
         step_w += g * g
