@@ -125,16 +125,22 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: flo
     return np.where(found, values[at], missing), found
 
 
-def word_costs(model: Model, symbols: np.ndarray, word: np.ndarray, levels, n_words: int) -> np.ndarray:
-    """Negative log probability of each word, its closing mark included."""
-    known = np.full(len(symbols), model.unseen)
-    for n, (keep, whole, history) in enumerate(levels, 1):  # from short to long histories: the longest known one stays
-        value, found = _lookup(model.grams[n - 1], whole, 0.0)
-        weight, has = _lookup(model.histories[n - 1], history, 0.0)
-        known[keep] = np.where(found, value, known[keep] + np.where(has, weight, 0.0))
+def word_costs(models: list[Model], symbols: np.ndarray, word: np.ndarray, levels, n_words: int) -> list[np.ndarray]:
+    """For each model, the negative log probability of each word, its closing mark included.
+
+    The distinct hashes of a level are sorted once for all models: sorted keys are found much faster than scattered ones."""
+    known = [np.full(len(symbols), m.unseen) for m in models]
+    for n, (keep, whole, history) in enumerate(levels):  # from short to long histories: the longest known one stays
+        grams, gram_of = np.unique(whole, return_inverse=True)
+        before, before_of = np.unique(history, return_inverse=True)
+        for model, cost in zip(models, known):
+            value, found = _lookup(model.grams[n], grams, 0.0)
+            weight, _ = _lookup(model.histories[n], before, 0.0)
+            cost[keep] = np.where(found[gram_of], value[gram_of], cost[keep] + weight[before_of])
     first = np.concatenate([[True], word[1:] != word[:-1]]) if len(word) else np.zeros(0, bool)
-    known[first] = 0
-    return -np.bincount(word, known, n_words)
+    for cost in known:
+        cost[first] = 0
+    return [-np.bincount(word, cost, n_words) for cost in known]
 
 
 def costs(models: list[Model], texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +156,7 @@ def costs(models: list[Model], texts: list[str], order: int) -> tuple[np.ndarray
     _, one, of = np.unique(key, return_index=True, return_inverse=True)
     symbols, word = _padded(codes, starts[one], ends[one])
     levels = _grams(symbols, word, order)
-    pairs = np.stack([np.bincount(owner, word_costs(m, symbols, word, levels, len(one))[of], len(texts)) for m in models], axis=1)
+    pairs = np.stack([np.bincount(owner, c[of], len(texts)) for c in word_costs(models, symbols, word, levels, len(one))], axis=1)
     return pairs, np.bincount(owner, ends - starts + 1, len(texts)).astype(float)
 
 
