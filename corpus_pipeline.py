@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that repeat; what remains of a cut character goes. Emptied documents go."""
-    cut = repeated_strings(docs).where("n_removed > 0").select("doc_id", "sha", "kept_text").dropDuplicates(["doc_id", "sha"])
+    """Texts without the strings of 400 bytes and the passages of over 50 words that repeat; what remains of a cut character
+    goes. Emptied documents go."""
+    cut = repeated_strings(docs, words=51).where("n_removed > 0").select("doc_id", "sha", "kept_text").dropDuplicates(["doc_id", "sha"])
     keyed = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     out = keyed.join(cut, ["doc_id", "sha"], "left")
     text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept_text").cast("string")), "\ufffd", ""))

@@ -1,12 +1,14 @@
 """Every operator on nulls, empty and repeated rows, empty tables and clashing columns; and against brute force."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tractionlens.llm import shared
 from tractionlens.llm.chat_format import link_tool_calls
 from tractionlens.llm.decontamination import decontaminate
@@ -136,6 +138,45 @@ def test_repeated_strings_against_brute_force(spark, messy):
     assert repeated_strings(messy.limit(0)).count() == 0
 
 
+def test_repeated_words_against_brute_force(spark, messy):
+    rng = np.random.default_rng(6)
+    pieces = [" ".join(rng.choice(list("abcdefg"), 5)) for _ in range(40)]
+    gaps = [" ", "  ", "\n"]
+    texts = [(i, "".join(f"{p}{rng.choice(gaps)}" for p in rng.choice(pieces, 9)) + "é" * int(rng.integers(0, 30))) for i in range(30, 60)]
+    table = messy.union(docs(spark, texts))
+    length, words = 60, 11
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in table.select("doc_id", "text").collect()]
+    spans = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^ \t-\r]+", b)] for _, b in rows]
+    seen, copies = {}, {}
+    for (_, b), ws in zip(rows, spans):
+        copies[b] = copies.get(b, 0) + 1
+        for key in [b[i : i + length] for i in range(len(b) - length + 1)] + [tuple(w for _, _, w in ws[i : i + words]) for i in range(len(ws) - words + 1)]:
+            seen[key] = seen.get(key, 0) + 1
+    want = []
+    for (d, b), ws in zip(rows, spans):
+        gone = np.full(len(b), copies[b] > 1 and (len(b) >= length or len(ws) >= words))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        for i in range(len(ws) - words + 1):
+            if seen[tuple(w for _, _, w in ws[i : i + words])] > 1:
+                gone[ws[i][0] : ws[i + words - 1][1]] = True
+        want.append((str(d), len(b), int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    got = repeated_strings(table, length=length, words=words, slice_bytes=1000, bucket_strings=500).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+    assert len({w[2] for w in want}) > 5
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    passage = " ".join(f"w{i:03}x" for i in range(51))
+    assert 300 <= len(passage) < 400
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    fifty = " ".join(f"v{i}" for i in range(50))
+    table = docs(spark, [(i, f"{own[i]} {passage} end{i}" if i < 2 else f"{own[i]} {fifty} end{i}") for i in range(4)])
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_dedup(spark, table, "").collect()}
+    assert out == {i: f"{own[i]}  end{i}" if i < 2 else f"{own[i]} {fifty} end{i}" for i in range(4)}
+
+
 def test_decontamination_reordered(spark, messy):
     item = " ".join(f"q{i}" for i in range(20))
     swapped = "zz " + " ".join(f"Q{i}," for i in range(10, 20)) + " filler words here " + " ".join(f"q{i}" for i in range(10))

@@ -71,12 +71,13 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Polynomial hashes of any substring of one buffer, in constant time each."""
+    """Polynomial hashes of any part of one buffer of bytes (or of 64-bit hashes), in constant time each."""
 
     def __init__(self, buf: np.ndarray, lower: bool = False, which: int = 0):
         up, self.down = _powers(len(buf) + 1, which)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((_LOWER_TABLES if lower else _TABLES)[which][buf] * up[: len(buf)], out=self.sums[1:])
+        values = buf if buf.dtype == np.uint64 else (_LOWER_TABLES if lower else _TABLES)[which][buf]
+        np.cumsum(values * up[: len(buf)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import Hasher, byte_slices, written
+from tractionlens.llm.shared import Hasher, byte_slices, word_spans, written
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
@@ -21,7 +21,8 @@ def _sampled(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     """(start of every string of `length` bytes inside a text, its sampled position, hash of length/2 bytes by position).
 
     The sampled position of a string is the leftmost smallest hash among its inner substrings of length/2 bytes: it
-    depends on the string's bytes alone, so equal strings are sampled at the same offset wherever they are."""
+    depends on the string's bytes alone, so equal strings are sampled at the same offset wherever they are. `buf` may also
+    hold the words of the texts as hashes, with `offs` and `length` in words."""
     k = length // 2
     w = length - k + 1
     n = len(buf)
@@ -44,36 +45,60 @@ def _sampled(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     return starts, where[starts].astype(np.int64), h
 
 
-def _names(docs: DataFrame, length: int) -> DataFrame:
-    """Per document: its key, size, and the names (hashes) of its sampled suffixes' first length/2 bytes, in order."""
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts as hashes, where each text's begin, and the first byte and end of each word."""
+    starts, ends, counts = word_spans(buf, offs)
+    return Hasher(buf).of(starts, ends), counts, starts, ends
+
+
+def _names(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """Per document: its key, size, and the names (hashes) of its sampled suffixes' first length/2 bytes, in order; the same
+    for words/2 words, if `words` is set."""
+
+    def named(seq, offs, length):
+        _, sampled, h = _sampled(seq, offs, length)
+        sampled = np.unique(sampled)
+        cuts = np.searchsorted(sampled, offs)
+        return pa.array([h[sampled[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
 
     def name(batches):
         for batch in batches:
             for first, end, buf, offs in byte_slices(batch, "text"):
-                _, sampled, h = _sampled(buf, offs, length)
-                sampled = np.unique(sampled)
-                cuts = np.searchsorted(sampled, offs)
+                n = end - first
+                spelled, counts = _words(buf, offs)[:2] if words else (np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(np.diff(offs)), pa.array([h[sampled[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                    names=["doc_id", "sha", "n_bytes", "names"],
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(np.diff(offs)), pa.array(np.diff(counts)), named(buf, offs, length), named(spelled, counts, max(words, 1))],
+                    names=["doc_id", "sha", "n_bytes", "n_words", "names", "word_names"],
                 )
 
-    return docs.mapInArrow(name, "doc_id long, sha string, n_bytes long, names binary")
+    return docs.mapInArrow(name, "doc_id long, sha string, n_bytes long, n_words long, names binary, word_names binary")
 
 
-def _strings(table: pa.Table | pa.RecordBatch, length: int):
-    """The candidate strings of a slice of texts: starts and hashes, with the slice's offsets and bytes."""
+def _strings(table: pa.Table | pa.RecordBatch, length: int, words: int):
+    """The candidate strings of a slice of texts: first bytes, ends and hashes, with the slice's offsets and bytes. In `js`
+    are the numbers of the chosen positions of bytes, and as -1 - number those of words."""
     for _, _, buf, offs in byte_slices(table, "text", 1 << 62):
-        starts, sampled, _ = _sampled(buf, offs, length)
-        unique = np.unique(sampled)
-        base = np.searchsorted(unique, offs)
-        wanted = np.zeros(len(unique), bool)
-        for a, b, js in zip(base, base[1:], table.column(table.schema.get_field_index("js"))):
-            at = a + np.frombuffer(js.as_buffer(), np.int32)
-            wanted[at[at < b]] = True
-        starts = starts[wanted[np.searchsorted(unique, sampled)]]
-        return starts, Hasher(buf, which=1).of(starts, starts + length), offs, buf
-    return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        chosen = [np.frombuffer(js.as_buffer(), np.int32) for js in table.column(table.schema.get_field_index("js"))]
+
+        def strings(seq, offs, length, numbers):
+            starts, sampled, _ = _sampled(seq, offs, length)
+            unique = np.unique(sampled)
+            base = np.searchsorted(unique, offs)
+            wanted = np.zeros(len(unique), bool)
+            for a, b, js in zip(base, base[1:], numbers):
+                at = a + js
+                wanted[at[at < b]] = True
+            starts = starts[wanted[np.searchsorted(unique, sampled)]]
+            return starts, Hasher(seq, which=1).of(starts, starts + length)
+
+        starts, hashes = strings(buf, offs, length, [js[js >= 0] for js in chosen])
+        ends = starts + length
+        if words:
+            spelled, counts, heads, tails = _words(buf, offs)
+            at, more = strings(spelled, counts, words, [-1 - js[js < 0] for js in chosen])
+            starts, ends, hashes = np.concatenate([starts, heads[at]]), np.concatenate([ends, tails[at + words - 1]]), np.concatenate([hashes, more])
+        return starts, ends, hashes, offs, buf
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
 
 def _parted(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,38 +108,44 @@ def _parted(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, n
     return distinct, of, np.searchsorted(distinct // width, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 << 20, bucket_strings: int = 1_000_000) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 << 20, bucket_strings: int = 1_000_000, words: int = 0) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (binary).
 
     Texts are UTF-8 bytes; null is empty. Every byte that lies in a `length`-byte string that also starts elsewhere, in any
     document or the same one, is removed; strings are judged on the input. Texts shorter than `length` stay whole. Equal
-    texts are one class: with two or more members of at least `length` bytes all of their bytes go. Rows of one doc_id are
+    texts are one class: with two or more members of at least `length` bytes (or `words` words) all of their bytes go. Rows of one doc_id are
     separate documents. Only doc_id and text are read.
 
+    With `words` set, passages of that many words (runs of non-space, whatever white space lies between them) that also
+    start elsewhere go too, from their first word's first byte to their last word's end, however few bytes they have.
+
     1. Sample: suffixes at content-chosen positions (one in about length/4 bytes) are named by their first length/2 bytes.
     2. Names that occur once cannot be part of a repeated string; positions with other names are kept, with their texts.
     3. Strings around kept positions are compared by hash in buckets of about `bucket_strings`, a slice of texts sending
        each distinct hash once, so a string that a third of all documents share reaches its bucket once a slice.
     4. Slices mark the bytes of the strings that were found elsewhere."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
-    named = written(_names(base, length), "names")
+    named = written(_names(base, length, words), "names")
+    sized = (F.col("n_bytes") >= length) | ((F.col("n_words") >= words) if words else F.lit(False))
     classes = written(named.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    long = named.where(F.col("n_bytes") >= length).join(classes.select("sha", "rep"), "sha").where("doc_id = rep").dropDuplicates(["sha"])
+    long = named.where(sized).join(classes.select("sha", "rep"), "sha").where("doc_id = rep").dropDuplicates(["sha"])
 
     def explode(batches):
         for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            n = np.array([len(p) for p in parts])
-            if n.sum():
-                row = np.repeat(np.arange(len(n)), n)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["doc_id", "j", "name"])
-
-    flat = long.select("doc_id", "names").mapInArrow(explode, "doc_id long, j int, name long")
+            for k in (1, 2):
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(k)]
+                n = np.array([len(p) for p in parts])
+                if n.sum():
+                    row = np.repeat(np.arange(len(n)), n)
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    at = at if k == 1 else -1 - at
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["doc_id", "j", "name"])
+
+    flat = long.select("doc_id", "names", "word_names").mapInArrow(explode, "doc_id long, j int, name long")
     again = flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     chosen = flat.join(again, "name").groupBy("doc_id").agg(F.sort_array(F.collect_list("j")).alias("js"))
     # several texts of one doc_id are all compared, at the positions of each: more than needed, and never less
-    texts = base.select("doc_id", "text").where(F.octet_length("text") >= length).join(chosen, "doc_id")
+    texts = base.select("doc_id", "text").where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length)).join(chosen, "doc_id")
     texts = texts.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
 
     def slices(batches):
@@ -137,7 +168,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("sha", "ascending")])
         batch = table.to_batches()[0]
         number = batch.column(batch.schema.get_field_index("slice"))[0].as_py()
-        _, hashes, _, _ = _strings(batch, length)
+        _, _, hashes, _, _ = _strings(batch, length, words)
         distinct, of, edges = _parted(hashes, buckets)
         twice = np.bincount(of, minlength=len(distinct)) > 1
         use = np.flatnonzero(np.diff(edges))
@@ -164,16 +195,16 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("sha", "ascending")])
         batch = table.to_batches()[0]
-        starts, hashes, offs, buf = _strings(batch, length)
+        starts, ends, hashes, offs, buf = _strings(batch, length, words)
         distinct, of, edges = _parted(hashes, buckets)
         hit = np.zeros(len(distinct), bool)
         for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("hit")):
             size = edges[b + 1] - edges[b]
             hit[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=size)
         cover = np.zeros(len(buf) + 1, np.int32)
-        got = starts[hit[of]]
-        np.add.at(cover, got, 1)
-        np.add.at(cover, got + length, -1)
+        got = hit[of]
+        np.add.at(cover, starts[got], 1)
+        np.add.at(cover, ends[got], -1)
         gone = np.cumsum(cover)[:-1] > 0
         removed, spans, kept = [], [], []
         for a, b in zip(offs, offs[1:]):
@@ -186,8 +217,8 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
 
     marked = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(mark, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
     marked = written(marked, "marked").where("n_removed > 0").dropDuplicates(["sha"])
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    rows = named.select("doc_id", "sha", "n_bytes").join(classes.select("sha", "copies"), "sha").join(marked, "sha", "left")
+    gone = (F.col("copies") > 1) & sized
+    rows = named.select("doc_id", "sha", "n_bytes", "n_words").join(classes.select("sha", "copies"), "sha").join(marked, "sha", "left")
     return rows.select(
         "doc_id",
         "sha",
