@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractionlens.llm.decontamination import decontaminate
 from tractionlens.llm.near_dedup import near_duplicates
 from tractionlens.llm.packing import pack
 from tractionlens.llm.quality_rules import quality_rules
-from tractionlens.llm.shared import written
+from tractionlens.llm.shared import WORD, written
 from tractionlens.llm.substring_dedup import repeated_strings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,6 +20,12 @@ def _with_text(text) -> list:
     return ["doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")]
 
 
+def _key() -> Column:
+    """doc_id, or for rows without one a stand-in from the text: above 2**62, so a document with an id is kept before it."""
+    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col("doc_id").cast("long"), stand_in)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
     judged = quality_rules(docs.select(*COLUMNS), carry=True).where("kept")
@@ -27,25 +33,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One document of each group of near-duplicates: the one with the smallest doc_id, or where none has an id the one with
+    the smallest stand-in. Of equal texts without an id one row stays; texts without words link with nothing and all stay."""
+    keyed = docs.select(*COLUMNS, _key().alias("_key"))
+    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    rows = keyed.join(kept, "_key", "left_semi")
+    again = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    one = rows.where(again).groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.where(~again).select(*COLUMNS).union(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes and the passages of over 50 words that repeat; what remains of a cut character
     goes. Emptied documents go."""
-    cut = repeated_strings(docs, words=51).where("n_removed > 0").select("doc_id", "sha", "kept_text").dropDuplicates(["doc_id", "sha"])
+    cut = repeated_strings(docs, words=51).where("n_removed > 0").select("sha", "kept_text").dropDuplicates(["sha"])
     keyed = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    out = keyed.join(cut, ["doc_id", "sha"], "left")
+    out = keyed.join(cut, "sha", "left")
     text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept_text").cast("string")), "\ufffd", ""))
     return out.select(*_with_text(text)).where("text IS NULL OR text <> ''")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+    keyed = docs.select(*COLUMNS, _key().alias("_key"))
+    found = decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,6 +177,27 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     assert out == {i: f"{own[i]}  end{i}" if i < 2 else f"{own[i]} {fifty} end{i}" for i in range(4)}
 
 
+def test_repeated_strings_without_ids(spark):
+    shared_part, own = "x y z " * 20, ["first text", "second text", "third text"]
+    out = repeated_strings(docs(spark, [(None, own[0] + shared_part), (None, own[1] + shared_part), (9, own[2])]), length=100).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"] - r["n_removed"]) for r in out) == [("9", 10), ("None", 5), ("None", 6)]  # " text" is shared too
+
+
+def test_pipeline_keeps_documents_without_id(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs(spark, rows), str(tmp_path)).collect()), key=str)
+    alone, other = LONG.replace("3", "x"), LONG.replace("a", "e")
+    near = [(None, None), (None, ""), (None, ""), (4, LONG), (None, LONG), (None, alone), (None, alone), (None, other), (7, other)]
+    assert run(corpus_pipeline.near_dedup, near) == sorted([(None, None), (None, ""), (None, ""), (4, LONG), (None, alone), (7, other)], key=str)
+    passage = " ".join(f"w{i:03}x" for i in range(51))
+    assert run(corpus_pipeline.substring_dedup, [(None, f"one {passage} two"), (3, f"three {passage} four"), (None, "five")]) == [(3, "three  four"), (None, "five"), (None, "one  two")]
+    assert run(corpus_pipeline.decontamination, [(None, f"x {item} y"), (None, "clean text"), (None, None), (2, item)]) == [(None, "clean text"), (None, None)]
+    good = " ".join(LONG.split()[:200]) + "."
+    assert [i for i, _ in run(corpus_pipeline.quality, [(None, good), (1, good)])] == [1, None]
+    assert [r["doc_id"] for r in corpus_pipeline.packing(spark, docs(spark, [(None, "some text")]), "").collect()] == [None]
+
+
 def test_decontamination_reordered(spark, messy):
     item = " ".join(f"q{i}" for i in range(20))
     swapped = "zz " + " ".join(f"Q{i}," for i in range(10, 20)) + " filler words here " + " ".join(f"q{i}" for i in range(10))

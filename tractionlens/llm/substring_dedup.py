@@ -67,11 +67,11 @@ def _names(docs: DataFrame, length: int, words: int) -> DataFrame:
                 n = end - first
                 spelled, counts = _words(buf, offs)[:2] if words else (np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(np.diff(offs)), pa.array(np.diff(counts)), named(buf, offs, length), named(spelled, counts, max(words, 1))],
-                    names=["doc_id", "sha", "n_bytes", "n_words", "names", "word_names"],
+                    [*(batch.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(offs)), pa.array(np.diff(counts)), named(buf, offs, length), named(spelled, counts, max(words, 1))],
+                    names=["doc_id", "sha", "key", "n_bytes", "n_words", "names", "word_names"],
                 )
 
-    return docs.mapInArrow(name, "doc_id long, sha string, n_bytes long, n_words long, names binary, word_names binary")
+    return docs.mapInArrow(name, "doc_id long, sha string, key long, n_bytes long, n_words long, names binary, word_names binary")
 
 
 def _strings(table: pa.Table | pa.RecordBatch, length: int, words: int):
@@ -113,8 +113,8 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
 
     Texts are UTF-8 bytes; null is empty. Every byte that lies in a `length`-byte string that also starts elsewhere, in any
     document or the same one, is removed; strings are judged on the input. Texts shorter than `length` stay whole. Equal
-    texts are one class: with two or more members of at least `length` bytes (or `words` words) all of their bytes go. Rows of one doc_id are
-    separate documents. Only doc_id and text are read.
+    texts are one class: with two or more members of at least `length` bytes (or `words` words) all of their bytes go. Rows of one doc_id, or of
+    none, are separate documents. Only doc_id and text are read.
 
     With `words` set, passages of that many words (runs of non-space, whatever white space lies between them) that also
     start elsewhere go too, from their first word's first byte to their last word's end, however few bytes they have.
@@ -124,11 +124,13 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
     3. Strings around kept positions are compared by hash in buckets of about `bucket_strings`, a slice of texts sending
        each distinct hash once, so a string that a third of all documents share reaches its bucket once a slice.
     4. Slices mark the bytes of the strings that were found elsewhere."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    # a long for (doc_id, text), null ids too; should two share one, each is compared at the positions of both
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
     named = written(_names(base, length, words), "names")
     sized = (F.col("n_bytes") >= length) | ((F.col("n_words") >= words) if words else F.lit(False))
     classes = written(named.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    long = named.where(sized).join(classes.select("sha", "rep"), "sha").where("doc_id = rep").dropDuplicates(["sha"])
+    long = named.where(sized).join(classes.select("sha", "rep"), "sha").where("doc_id <=> rep").dropDuplicates(["sha"])
 
     def explode(batches):
         for batch in batches:
@@ -139,14 +141,12 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
                     row = np.repeat(np.arange(len(n)), n)
                     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     at = at if k == 1 else -1 - at
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["doc_id", "j", "name"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["key", "j", "name"])
 
-    flat = long.select("doc_id", "names", "word_names").mapInArrow(explode, "doc_id long, j int, name long")
+    flat = long.select("key", "names", "word_names").mapInArrow(explode, "key long, j int, name long")
     again = flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    chosen = flat.join(again, "name").groupBy("doc_id").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    # several texts of one doc_id are all compared, at the positions of each: more than needed, and never less
-    texts = base.select("doc_id", "text").where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length)).join(chosen, "doc_id")
-    texts = texts.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    chosen = flat.join(again, "name").groupBy("key").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    texts = base.select("key", "sha", "text").where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length)).join(chosen, "key")
 
     def slices(batches):
         number, size = TaskContext.get().partitionId() << 32, 0
@@ -158,14 +158,14 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
                 size += n
                 ids.append(number)
             js = [np.array(x.as_py(), np.int32).tobytes() for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(js, pa.binary()), pa.array(ids, pa.int64())], names=["doc_id", "sha", "text", "js", "slice"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(js, pa.binary()), pa.array(ids, pa.int64())], names=["key", "sha", "text", "js", "slice"])
 
-    sliced = written(texts.select("doc_id", "sha", "text", "js").mapInArrow(slices, "doc_id long, sha string, text string, js binary, slice long"), "slices")
+    sliced = written(texts.select("key", "sha", "text", "js").mapInArrow(slices, "key long, sha string, text string, js binary, slice long"), "slices")
     anchors = sliced.agg(F.sum(F.octet_length("js") / 4)).first()[0] or 0
     buckets = max(12, int(anchors * (length // 4) / bucket_strings))
 
     def send(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("sha", "ascending")])
+        table = table.combine_chunks().sort_by([("key", "ascending"), ("sha", "ascending")])
         batch = table.to_batches()[0]
         number = batch.column(batch.schema.get_field_index("slice"))[0].as_py()
         _, _, hashes, _, _ = _strings(batch, length, words)
@@ -193,7 +193,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
     replies = written(sent.groupBy("bucket").applyInArrow(meet, "slice long, bucket int, hit binary"), "replies")
 
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("sha", "ascending")])
+        table = table.combine_chunks().sort_by([("key", "ascending"), ("sha", "ascending")])
         batch = table.to_batches()[0]
         starts, ends, hashes, offs, buf = _strings(batch, length, words)
         distinct, of, edges = _parted(hashes, buckets)
