@@ -13,7 +13,7 @@ from tractionlens.llm import shared
 from tractionlens.llm.chat_format import link_tool_calls
 from tractionlens.llm.decontamination import decontaminate
 from tractionlens.llm.language_id import identify
-from tractionlens.llm.lm_scoring import score_texts
+from tractionlens.llm.lm_scoring import score_texts, started, train_everywhere, word_counts
 from tractionlens.llm.near_dedup import near_duplicates
 from tractionlens.llm.packing import fullest, pack, plan
 from tractionlens.llm.quality_rules import quality_rules
@@ -288,3 +288,26 @@ def test_scores_add_up(spark, messy):
             assert r["n_known"] == sum(w in counts for w in ws) + 1
             want = sum(np.log10((counts.get(w, 0) + 1) / (n + len(counts) + 1)) for w in [*ws, None])
             assert abs(r["base_score"] - want) < 1e-6 and np.isfinite(r["score"]) and r["score"] < 0
+
+
+def test_model_learns_from_all_training_texts(spark):
+    """The model must know ids and words that occur outside the sample it starts from."""
+    enc = encoder(default_path())
+    table = docs(spark, [(i, "plain words " * 20) for i in range(20)] + [(100, "Zebra quilts " * 400), (101, None)])
+    counts = {(r["id"], r["w"]): r["c"] for r in word_counts(table, default_path()).collect()}
+    want = {}
+    for w, n in (("plain", 400), ("words", 400), ("zebra", 400), ("quilts", 400)):
+        for i in np.frombuffer(enc.packed(" " + w), "<u4").tolist():
+            want[i] = want.get(i, 0) + n
+    assert {w: c for (of_id, w), c in counts.items() if of_id} == want and counts[False, 0] == 22
+    ids = np.zeros(enc.tokenizer.get_vocab_size())
+    ids[list(want)] = list(want.values())
+    model = started(ids, 64, 8, 16, 1)
+    assert all(model.slot[i] > 2 for i in want)
+    more = train_everywhere(table, model, default_path(), 16, 200, 2, 1)
+    assert any((more.p[k] != model.p[k]).any() for k in model.p)
+    assert train_everywhere(table.limit(0), model, default_path(), 16, 200, 2, 1) is model
+    few = score_texts(table, F.col("doc_id") == 100, steps=10, tokens=200, max_train_docs=1, classes=64, d=8).collect()
+    all_texts = score_texts(table.union(docs(spark, [(102, "zebra quilts " * 400)])), F.col("doc_id") == 100, steps=10, tokens=200, max_train_docs=1, classes=64, d=8, every=2).collect()
+    score = lambda rows: next(r["attention_score"] for r in rows if r["doc_id"] == 100)
+    assert score(all_texts) > score(few) / 2
