@@ -76,3 +76,31 @@ def test_distribution_of_one_value(spark):
 
 def test_milestones(spark):
     assert spark.range(1).select(T.milestones(F.lit(20), F.lit(120)).alias("m")).first()["m"] == [25, 50, 100]
+
+
+def test_pattern_match_in_parts(spark):
+    """Posts that fit only parts of a pattern, in another tier and media, are predicted from the threshold on."""
+    schema = "tier string, hook string, narrative string, content_type string, template string, t_lo long, t_hi long, b_lo long, b_hi long"
+    patterns = spark.createDataFrame([("t1", "list", "story", "text", "red fox|blue bird", 2, 6, 10, 20)], schema)
+    posts = [
+        ("t2", "list", "story", "video", "A Red Fox", 3, 0, True),  # 0.2 + 0.2 + 0.35 * 0.7 + 0.125
+        ("t1", "list", "story", "text", "other", 1, 5, False),  # 0.4
+        ("t3", "list", "list", "image", "other words", 2, 15, True),  # 0.2 + 0.25
+        ("t1", "number", "list", "text", "red fox and blue bird", 5, 15, True),  # 0.35 + 0.25
+        ("t1", "number", "list", "text", None, None, None, False),
+    ]
+    df = spark.createDataFrame(posts, "tier string, hook string, narrative string, content_type string, title string, title_words long, body_words long, want boolean")
+    out = M.matched(df, patterns).collect()
+    assert len(out) == 5 and all(r["predicted"] == r["want"] for r in out)
+    assert not any(r["predicted"] for r in M.matched(df, patterns.limit(0)).collect())
+
+
+def test_title_templates(spark):
+    rows = [("a", t) for t in ("The Red fox, again!", "red FOX runs", "a red fox", "blue bird", "x")] + [("b", "red fox"), ("b", "red fox")]
+    out = M.templates(spark.createDataFrame(rows, "k string, title string"), ["k"]).collect()
+    assert [(r["k"], r["template"]) for r in out] == [("a", "red fox")]
+
+
+def test_backtest_counts_every_dated_post(spark):
+    out = registry.QUERIES["c3_backtest"](spark, SF).collect()
+    assert out and all(r["tp"] + r["fp"] + r["fn"] + r["tn"] > 0 for r in out)

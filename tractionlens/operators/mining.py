@@ -54,10 +54,56 @@ def anti_patterns(df: DataFrame, percentile: float = 0.9, least: int = 10) -> Da
     return g.select("bucket", "n", (F.col("failed").cast("double") / F.col("n").cast("double")).alias("failure_rate"))
 
 
-def matched(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Posts with `predicted`: some pattern has the post's hook, narrative and media in its tier. Patterns are few (a top-k) and unique by these keys."""
+#: Words that no title template holds.
+STOP = (
+    "the a an is are was were be been have has had do does did will would to of in for on with at by from and but or not so if this that it "
+    "i me my we our you your he she what which who when where why how just about like all can get one really"
+).split()
+
+
+def templates(viral: DataFrame, keys: list[str], share: float = 0.15, top: int = 10, most: int = 5) -> DataFrame:
+    """Per cluster with at least 3 titles: of its `top` most frequent bigrams of title words (no stop words, over 2 letters)
+    at most `most` that occur max(2, share of the titles) times, joined by a pipe. Ties go by the alphabet."""
+    words = F.filter(F.transform(F.split(F.trim(F.regexp_replace("title", r"\s+", " ")), " "), lambda w: F.btrim(F.lower(w), F.lit(".,!?:;\"'()[]"))), lambda w: ~w.isin(STOP) & (F.length(w) > 2))
+    rest = F.greatest(F.size("_w") - 1, F.lit(0))
+    grams = F.zip_with(F.slice("_w", F.lit(1), rest), F.slice("_w", F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+    titles = viral.where(F.col("title") != "")
+    enough = titles.groupBy(*keys).agg(F.count("*").alias("_titles")).where("_titles >= 3")
+    counts = titles.withColumn("_w", words).select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("_k"))
+    ranked = counts.join(F.broadcast(enough), keys).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_k"), "gram")))
+    ranked = ranked.where((F.col("_r") <= top) & (F.col("_k") >= F.greatest(F.lit(2).cast("long"), F.floor(F.col("_titles") * share))))
+    return ranked.groupBy(*keys).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_r", "gram"))), 1, most), lambda x: x["gram"]).alias("grams")).select(*keys, F.array_join("grams", "|").alias("template"))
+
+
+def described(df: DataFrame, patterns: DataFrame, percentile: float) -> DataFrame:
+    """`patterns` (few, by cluster) with the template and the p25-p75 ranges of title and body words of their viral posts in `df`."""
     keys = ["tier", "hook", "narrative", "content_type"]
-    return df.join(F.broadcast(patterns.select(*keys).distinct().withColumn("hit", F.lit(True))), keys, "left").withColumn("predicted", F.coalesce("hit", F.lit(False))).drop("hit")
+    viral = df.crossJoin(F.broadcast(viral_threshold(df, percentile, []))).where(F.col("upvotes") >= F.col("threshold")).join(F.broadcast(patterns.select(*keys)), keys)
+    quarter = lambda c, p, text: F.floor(F.percentile(F.when(F.col(text) != "", F.col(c)), F.lit(p)))
+    ranges = viral.groupBy(*keys).agg(quarter("title_words", 0.25, "title").alias("t_lo"), quarter("title_words", 0.75, "title").alias("t_hi"), quarter("body_words", 0.25, "body").alias("b_lo"), quarter("body_words", 0.75, "body").alias("b_hi"))
+    return patterns.join(ranges, keys, "left").join(templates(viral, keys), keys, "left")
+
+
+def title_match(title: Column, template: Column) -> Column:
+    """0, or 0.4 + 0.6 * the share of the template's bigrams that the lower-cased title holds."""
+    grams = F.filter(F.split(F.coalesce(template, F.lit("")), r"\|"), lambda g: g != "")
+    found = F.size(F.filter(grams, lambda g: F.contains(F.lower(title), g)))
+    return F.when(found > 0, 0.4 + 0.6 * found / F.greatest(F.size(grams), F.lit(1))).otherwise(0.0)
+
+
+def match_score(p: Column) -> Column:
+    """How well a post with features() fits pattern `p`: 0.20 hook, 0.20 narrative, 0.35 title_match, 0.125 for each range."""
+    hit = lambda test, weight: F.when(test, weight).otherwise(0.0)
+    words = hit(F.coalesce("title_words", F.lit(0)).between(p["t_lo"], p["t_hi"]), 0.125) + hit(F.coalesce("body_words", F.lit(0)).between(p["b_lo"], p["b_hi"]), 0.125)
+    return hit(F.col("hook") == p["hook"], 0.2) + hit(F.col("narrative") == p["narrative"], 0.2) + title_match(F.col("title"), p["template"]) * 0.35 + words
+
+
+def matched(df: DataFrame, patterns: DataFrame, least: float = 0.45) -> DataFrame:
+    """Posts with `predicted`: some pattern's match_score is from `least` on, whatever its tier and media. The patterns, a
+    top-k with described(), travel as one array."""
+    fields = ["hook", "narrative", "template", "t_lo", "t_hi", "b_lo", "b_hi"]
+    all_of = patterns.agg(F.collect_list(F.struct(*fields)).alias("_patterns"))
+    return df.crossJoin(F.broadcast(all_of)).withColumn("predicted", F.exists("_patterns", lambda p: match_score(p) >= least)).drop("_patterns")
 
 
 def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str]) -> DataFrame:
@@ -67,11 +113,12 @@ def confusion(df: DataFrame, predicted: Column, actual: Column, by: list[str]) -
     return g.select(*by, "tp", "fp", "fn", "tn", share(tp, tp + F.col("fp")).alias("precision"), share(tp, tp + F.col("fn")).alias("recall"), share(2 * tp, 2 * tp + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def backtest(df: DataFrame, split_at: str, percentile: float = 0.8) -> DataFrame:
-    """Patterns mined before `split_at`, judged on the posts from then on, by tier. Undated posts take no part."""
+def backtest(df: DataFrame, split_at: str, percentile: float = 0.8, least: float = 0.45) -> DataFrame:
+    """Significant patterns mined before `split_at`, matched with the posts from then on, by tier. Undated posts take no part."""
     f = features(df).where("created_utc IS NOT NULL")
     train, test = f.where(F.col("created_utc") < F.lit(split_at).cast("timestamp")), f.where(F.col("created_utc") >= F.lit(split_at).cast("timestamp"))
-    test = matched(test, over_represented(train, percentile, critical=0.0)).crossJoin(F.broadcast(viral_threshold(test, percentile, [])))
+    patterns = described(train, over_represented(train, percentile), percentile)
+    test = matched(test, patterns, least).crossJoin(F.broadcast(viral_threshold(test, percentile, [])))
     return confusion(test, F.col("predicted"), F.col("upvotes") >= F.col("threshold"), ["tier"])
 
 
