@@ -1,238 +1,248 @@
-"""Removal of repeated byte strings: sampled suffixes get names, names decide which other suffixes are compared.
-
-See the README for why positions are sampled by content and not by a fixed difference cover."""
+"""Removal of repeated byte strings: suffixes on a difference cover are sorted by names, names decide which others are merged."""
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractionlens.llm.shared import Hasher, byte_slices, word_spans, written
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
-
-
-def _sampled(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of every string of `length` bytes inside a text, its sampled position, hash of length/2 bytes by position).
-
-    The sampled position of a string is the leftmost smallest hash among its inner substrings of length/2 bytes: it
-    depends on the string's bytes alone, so equal strings are sampled at the same offset wherever they are. `buf` may also
-    hold the words of the texts as hashes, with `offs` and `length` in words."""
-    k = length // 2
-    w = length - k + 1
-    n = len(buf)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - k + 1)
-    h = Hasher(buf).of(at, at + k)
-    best, where, size = h, at.astype(np.int32), 1
-    while size < w:
-        step = min(size, w - size)
-        m = len(best) - step
-        later = best[step : step + m] < best[:m]
-        best, where = np.where(later, best[step : step + m], best[:m]), np.where(later, where[step : step + m], where[:m])
-        size += step
-    inside = np.zeros(n + 1, np.int32)
-    full = np.diff(offs) >= length
-    np.add.at(inside, offs[:-1][full], 1)
-    np.add.at(inside, offs[1:][full] - length + 1, -1)
-    starts = np.flatnonzero(np.cumsum(inside)[:n] > 0)
-    return starts, where[starts].astype(np.int64), h
-
-
-def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of the texts as hashes, where each text's begin, and the first byte and end of each word."""
-    starts, ends, counts = word_spans(buf, offs)
-    return Hasher(buf).of(starts, ends), counts, starts, ends
-
-
-def _names(docs: DataFrame, length: int, words: int) -> DataFrame:
-    """Per document: its key, size, and the names (hashes) of its sampled suffixes' first length/2 bytes, in order; the same
-    for words/2 words, if `words` is set."""
-
-    def named(seq, offs, length):
-        _, sampled, h = _sampled(seq, offs, length)
-        sampled = np.unique(sampled)
-        cuts = np.searchsorted(sampled, offs)
-        return pa.array([h[sampled[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
-
-    def name(batches):
-        for batch in batches:
-            for first, end, buf, offs in byte_slices(batch, "text"):
-                n = end - first
-                spelled, counts = _words(buf, offs)[:2] if words else (np.zeros(0, np.uint64), np.zeros(n + 1, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(first, n) for i in range(3)), pa.array(np.diff(offs)), pa.array(np.diff(counts)), named(buf, offs, length), named(spelled, counts, max(words, 1))],
-                    names=["doc_id", "sha", "key", "n_bytes", "n_words", "names", "word_names"],
-                )
-
-    return docs.mapInArrow(name, "doc_id long, sha string, key long, n_bytes long, n_words long, names binary, word_names binary")
-
-
-def _strings(table: pa.Table | pa.RecordBatch, length: int, words: int):
-    """The candidate strings of a slice of texts: first bytes, ends and hashes, with the slice's offsets and bytes. In `js`
-    are the numbers of the chosen positions of bytes, and as -1 - number those of words."""
-    for _, _, buf, offs in byte_slices(table, "text", 1 << 62):
-        chosen = [np.frombuffer(js.as_buffer(), np.int32) for js in table.column(table.schema.get_field_index("js"))]
-
-        def strings(seq, offs, length, numbers):
-            starts, sampled, _ = _sampled(seq, offs, length)
-            unique = np.unique(sampled)
-            base = np.searchsorted(unique, offs)
-            wanted = np.zeros(len(unique), bool)
-            for a, b, js in zip(base, base[1:], numbers):
-                at = a + js
-                wanted[at[at < b]] = True
-            starts = starts[wanted[np.searchsorted(unique, sampled)]]
-            return starts, Hasher(seq, which=1).of(starts, starts + length)
-
-        starts, hashes = strings(buf, offs, length, [js[js >= 0] for js in chosen])
-        ends = starts + length
+MARKED = "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text binary, byte_removed long, byte_spans long, byte_sha256 string"
+SENT = "bucket int, slice int, hashes binary, twice binary"
+
+
+@lru_cache
+def difference_cover(most: int) -> tuple[int, np.ndarray]:
+    """(modulus v of at most `most`, residues): any two numbers have a shift k < v that takes both to residues modulo v.
+
+    The residues are a line of the projective plane over the integers modulo a prime q: q + 1 of v = q * q + q + 1, and
+    every difference occurs once. Powers of t modulo a cubic run over the plane's points; a cubic is tried until they do."""
+    for q in range(int(most**0.5), 1, -1):
+        v = q * q + q + 1
+        if v > most or any(q % d == 0 for d in range(2, q)):
+            continue
+        for a, b, c in product(range(q), repeat=3):
+            x, line = (1, 0, 0), []
+            for i in range(v):
+                if x[2] == 0:
+                    line.append(i)
+                x = (x[2] * a % q, (x[0] + x[2] * b) % q, (x[1] + x[2] * c) % q)
+            if len(line) == q + 1 and len({(i - j) % v for i in line for j in line}) == v:
+                return v, np.array(line)
+    return 1, np.zeros(1, int)
+
+
+class _Texts:
+    """The texts of a slice as one sequence of bytes, or of words as hashes, in which strings of `length` are looked for.
+
+    Sampled suffixes begin at the residues of a difference cover, counted from their text's start. Two equal strings of
+    `length` have a sampled suffix at one shift in both, which goes on for `width` inside the strings."""
+
+    def __init__(self, seq: np.ndarray, offs: np.ndarray, length: int):
+        self.seq, self.offs, self.length = seq, offs, length
+        self.modulus, self.residues = difference_cover(int(0.62 * length))
+        self.width = length - self.modulus + 1
+        self.long = np.diff(offs) >= length
+
+    def sample(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the sampled suffixes and the names (hashes) of their first `width`."""
+        blocks = np.where(self.long, (np.diff(self.offs) - self.width) // self.modulus + 1, 0)
+        text = np.repeat(np.arange(len(blocks)), blocks)
+        block = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        at = ((self.offs[text] + block * self.modulus)[:, None] + self.residues[None, :]).ravel()
+        at = at[at + self.width <= np.repeat(self.offs[text + 1], len(self.residues))]
+        return at, Hasher(self.seq).of(at, at + self.width)
+
+    def merged(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that have a repeated sampled one less than a modulus after their start, and hashes of their `length`."""
+        inside = np.zeros(len(self.seq) + 1, np.int32)
+        text = np.searchsorted(self.offs, repeated, side="right") - 1
+        np.add.at(inside, np.maximum(repeated - self.modulus + 1, self.offs[text]), 1)
+        np.add.at(inside, np.minimum(repeated, self.offs[text + 1] - self.length) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+        return starts, Hasher(self.seq, which=1).of(starts, starts + self.length)
+
+
+class _Slice:
+    """The distinct texts of a group, by hash: their bytes, and with `words` set also their words."""
+
+    def __init__(self, table: pa.Table, length: int, words: int):
+        table = table.combine_chunks().sort_by("sha")
+        self.sha = table.column("sha").to_numpy(zero_copy_only=False)
+        new = np.ones(len(self.sha), bool)
+        new[1:] = self.sha[1:] != self.sha[:-1]
+        self.sha, table = self.sha[new], table.filter(pa.array(new)).combine_chunks()
+        _, _, self.buf, self.offs = next(byte_slices(table.to_batches()[0], "text", 1 << 62))
+        self.kinds = [_Texts(self.buf, self.offs, length)]
         if words:
-            spelled, counts, heads, tails = _words(buf, offs)
-            at, more = strings(spelled, counts, words, [-1 - js[js < 0] for js in chosen])
-            starts, ends, hashes = np.concatenate([starts, heads[at]]), np.concatenate([ends, tails[at + words - 1]]), np.concatenate([hashes, more])
-        return starts, ends, hashes, offs, buf
-    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
+            self.heads, self.tails, counts = word_spans(self.buf, self.offs)
+            self.kinds.append(_Texts(Hasher(self.buf).of(self.heads, self.tails), counts, words))
+
+    def names(self) -> np.ndarray:
+        self.at, names = zip(*(kind.sample() for kind in self.kinds))
+        return np.concatenate(names)
+
+    def merged(self, hit: np.ndarray) -> np.ndarray:
+        """Hashes of the strings to compare, given which sampled suffixes have a repeated name."""
+        cuts = np.cumsum([len(x) for x in self.at])[:-1]
+        self.starts, hashes = zip(*(kind.merged(at[yes]) for kind, at, yes in zip(self.kinds, self.at, np.split(hit, cuts))))
+        return np.concatenate(hashes)
+
+    def covered(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes inside repeated strings of bytes; bytes inside those or inside repeated passages."""
+        spans = [(self.starts[0], self.starts[0] + self.kinds[0].length)]
+        if len(self.kinds) > 1:
+            spans.append((self.heads[self.starts[1]], self.tails[self.starts[1] + self.kinds[1].length - 1]))
+        cover, out = np.zeros(len(self.buf) + 1, np.int32), []
+        for (starts, ends), yes in zip(spans, np.split(hit, [len(self.starts[0])])):
+            np.add.at(cover, starts[yes], 1)
+            np.add.at(cover, ends[yes], -1)
+            out.append(np.cumsum(cover)[:-1] > 0)
+        return out[0], out[-1]
+
+
+class _Sorted:
+    """Hashes in order, each once, dealt by range to buckets; a bucket answers which of them occur elsewhere too."""
+
+    def __init__(self, hashes: np.ndarray, buckets: int):
+        self.distinct, self.of = np.unique(hashes, return_inverse=True)
+        self.edges = np.searchsorted(self.distinct // np.uint64(2**64 // buckets + 1), np.arange(buckets + 1, dtype=np.uint64))
+
+    def sent(self, number: int, kind: type) -> pa.Table:
+        twice = np.bincount(self.of, minlength=len(self.distinct)) > 1
+        use = np.flatnonzero(np.diff(self.edges))
+        parts = [slice(self.edges[b], self.edges[b + 1]) for b in use]
+        return pa.table({
+            "bucket": pa.array(use.astype(np.int32)),
+            "slice": pa.array(np.full(len(use), number, np.int32)),
+            "hashes": pa.array([self.distinct[p].astype(kind).tobytes() for p in parts], pa.binary()),
+            "twice": pa.array([np.packbits(twice[p]).tobytes() for p in parts], pa.binary()),
+        })
+
+    def hits(self, answers: pa.Table) -> np.ndarray:
+        hit = np.zeros(len(self.distinct), bool)
+        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("hit")):
+            hit[self.edges[b] : self.edges[b + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=self.edges[b + 1] - self.edges[b])
+        return hit[self.of]
+
 
+def _met(sent: DataFrame, kind: type) -> DataFrame:
+    """(slice, bucket, hit): each bucket sorts what all slices sent; adjacent equal ones, or one sent as found twice, are hits."""
 
-def _parted(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes by bucket: (distinct, inverse, bucket edges). Buckets are ranges of the hash."""
-    distinct, of = np.unique(hashes, return_inverse=True)
-    width = np.uint64(2**64 // buckets + 1)
-    return distinct, of, np.searchsorted(distinct // width, np.arange(buckets + 1, dtype=np.uint64))
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column("hashes")]
+        n = [len(p) for p in parts]
+        flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("twice"), n)])
+        distinct, of = np.unique(np.concatenate(parts), return_inverse=True)
+        seen = np.bincount(of, minlength=len(distinct)) + np.bincount(of, flags, len(distinct))
+        hit = np.split((seen > 1)[of], np.cumsum(n)[:-1])
+        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "hit": pa.array([np.packbits(x).tobytes() for x in hit], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(meet, "slice int, bucket int, hit binary")
 
 
 def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 << 20, bucket_strings: int = 1_000_000, words: int = 0) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (binary).
+    """One row per document: doc_id, sha, n_bytes, n_removed, n_spans, kept_sha256, kept_text (binary, null if nothing goes).
 
     Texts are UTF-8 bytes; null is empty. Every byte that lies in a `length`-byte string that also starts elsewhere, in any
     document or the same one, is removed; strings are judged on the input. Texts shorter than `length` stay whole. Equal
-    texts are one class: with two or more members of at least `length` bytes (or `words` words) all of their bytes go. Rows of one doc_id, or of
-    none, are separate documents. Only doc_id and text are read.
+    texts are one class: with two or more members of at least `length` bytes (or `words` words) all of their bytes go. Rows
+    of one doc_id, or of none, are separate documents. An empty table gives no rows. Only doc_id and text are read. A text is
+    worked on whole, with about 60 bytes of memory for each of its bytes.
 
     With `words` set, passages of that many words (runs of non-space, whatever white space lies between them) that also
     start elsewhere go too, from their first word's first byte to their last word's end, however few bytes they have.
+    byte_removed, byte_spans and byte_sha256 then say what the strings of bytes alone remove.
+
+    Distinct texts are dealt to slices of about `slice_bytes` by hash. A slice sends hashes, each once and in order, to
+    buckets of about `bucket_strings` by range, so a string that a third of all documents share reaches its bucket once a slice.
 
-    1. Sample: suffixes at content-chosen positions (one in about length/4 bytes) are named by their first length/2 bytes.
-    2. Names that occur once cannot be part of a repeated string; positions with other names are kept, with their texts.
-    3. Strings around kept positions are compared by hash in buckets of about `bucket_strings`, a slice of texts sending
-       each distinct hash once, so a string that a third of all documents share reaches its bucket once a slice.
-    4. Slices mark the bytes of the strings that were found elsewhere."""
+    1. Sample: suffixes at the residues of a difference cover (14 of 183 bytes for 400) are sorted by the names of their
+       first length - modulus + 1 bytes. Names of that width hold all that a repeated string has after its shift, so there is
+       nothing left to recurse on. Names are hashes, so the order is theirs and not the alphabet's; within a bucket 32 bits
+       tell them apart, and a false match only adds suffixes to the next step.
+    2. Merge: the suffixes less than a modulus before a repeated sampled one are sorted by the 64-bit hash of `length` bytes.
+    3. Adjacent prefixes that are equal are repeated strings; the slices mark their bytes."""
     text = F.coalesce("text", F.lit(""))
-    # a long for (doc_id, text), null ids too; should two share one, each is compared at the positions of both
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
-    named = written(_names(base, length, words), "names")
-    sized = (F.col("n_bytes") >= length) | ((F.col("n_words") >= words) if words else F.lit(False))
-    classes = written(named.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    long = named.where(sized).join(classes.select("sha", "rep"), "sha").where("doc_id <=> rep").dropDuplicates(["sha"])
-
-    def explode(batches):
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text"))
+    long = F.octet_length("text") >= length
+    spoken = F.when(long, words).otherwise(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))) if words else F.lit(0)
+    rows = written(base.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes"), (long | (spoken >= words if words else F.lit(False))).alias("sized")), "rows")
+    total = rows.where("sized").agg(F.sum("n_bytes")).first()[0] or 0
+    n_slices = max(1, -(-total // slice_bytes))
+    buckets = max(12, total // (12 * bucket_strings))
+
+    def distinct(batches):
+        seen = set()
         for batch in batches:
-            for k in (1, 2):
-                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(k)]
-                n = np.array([len(p) for p in parts])
-                if n.sum():
-                    row = np.repeat(np.arange(len(n)), n)
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = at if k == 1 else -1 - at
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate(parts))], names=["key", "j", "name"])
-
-    flat = long.select("key", "names", "word_names").mapInArrow(explode, "key long, j int, name long")
-    again = flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    chosen = flat.join(again, "name").groupBy("key").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    texts = base.select("key", "sha", "text").where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length)).join(chosen, "key")
-
-    def slices(batches):
-        number, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            ids, lengths = [], [len(x.as_py().encode("utf-8", "surrogatepass")) for x in batch.column(2)]
-            for n in lengths:
-                if size and size + n > slice_bytes:
-                    number, size = number + 1, 0
-                size += n
-                ids.append(number)
-            js = [np.array(x.as_py(), np.int32).tobytes() for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(js, pa.binary()), pa.array(ids, pa.int64())], names=["key", "sha", "text", "js", "slice"])
-
-    sliced = written(texts.select("key", "sha", "text", "js").mapInArrow(slices, "key long, sha string, text string, js binary, slice long"), "slices")
-    anchors = sliced.agg(F.sum(F.octet_length("js") / 4)).first()[0] or 0
-    buckets = max(12, int(anchors * (length // 4) / bucket_strings))
-
-    def send(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("key", "ascending"), ("sha", "ascending")])
-        batch = table.to_batches()[0]
-        number = batch.column(batch.schema.get_field_index("slice"))[0].as_py()
-        _, _, hashes, _, _ = _strings(batch, length, words)
-        distinct, of, edges = _parted(hashes, buckets)
-        twice = np.bincount(of, minlength=len(distinct)) > 1
-        use = np.flatnonzero(np.diff(edges))
-        return pa.table({
-            "bucket": pa.array(use.astype(np.int32)),
-            "slice": pa.array(np.full(len(use), number, np.int64)),
-            "hashes": pa.array([distinct[edges[b] : edges[b + 1]].tobytes() for b in use], pa.binary()),
-            "twice": pa.array([np.packbits(twice[edges[b] : edges[b + 1]]).tobytes() for b in use], pa.binary()),
-        })
+            new = []
+            for x in batch.column(1).to_pylist():
+                new.append(x not in seen)
+                seen.add(x)
+            yield batch.filter(pa.array(new))
 
-    sent = sliced.groupBy("slice").applyInArrow(send, "bucket int, slice long, hashes binary, twice binary")
+    least = min(length, 2 * words - 1) if words else length
+    one = base.where(F.octet_length("text") >= least).select(F.pmod(F.xxhash64("sha"), F.lit(n_slices)).cast("int").alias("slice"), "sha", "text")
+    sliced = one.mapInArrow(distinct, "slice int, sha string, text string").groupBy("slice")
 
-    def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-        n = [len(p) for p in parts]
-        flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("twice"), n)])
-        distinct, of = np.unique(np.concatenate(parts), return_inverse=True)
-        seen = np.bincount(of, minlength=len(distinct)) + np.bincount(of, flags, len(distinct))
-        hit = np.split((seen > 1)[of], np.cumsum(n)[:-1])
-        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "hit": pa.array([np.packbits(x).tobytes() for x in hit], pa.binary())})
+    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _Sorted(_Slice(table, length, words).names(), buckets).sent(key[0].as_py(), np.uint32)
 
-    replies = written(sent.groupBy("bucket").applyInArrow(meet, "slice long, bucket int, hit binary"), "replies")
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = _Slice(table, length, words)
+        return _Sorted(own.merged(_Sorted(own.names(), buckets).hits(answers)), buckets).sent(key[0].as_py(), np.uint64)
 
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("key", "ascending"), ("sha", "ascending")])
-        batch = table.to_batches()[0]
-        starts, ends, hashes, offs, buf = _strings(batch, length, words)
-        distinct, of, edges = _parted(hashes, buckets)
-        hit = np.zeros(len(distinct), bool)
-        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("hit")):
-            size = edges[b + 1] - edges[b]
-            hit[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=size)
-        cover = np.zeros(len(buf) + 1, np.int32)
-        got = hit[of]
-        np.add.at(cover, starts[got], 1)
-        np.add.at(cover, ends[got], -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        removed, spans, kept = [], [], []
-        for a, b in zip(offs, offs[1:]):
-            part = gone[a:b]
-            removed.append(int(part.sum()))
-            spans.append(int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()))
-            kept.append(buf[a:b][~part].tobytes())
-        sha = [hashlib.sha256(x).hexdigest() for x in kept]
-        return pa.table({"sha": batch.column(batch.schema.get_field_index("sha")), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": sha, "kept_text": pa.array(kept, pa.binary())})
-
-    marked = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(mark, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
-    marked = written(marked, "marked").where("n_removed > 0").dropDuplicates(["sha"])
-    gone = (F.col("copies") > 1) & sized
-    rows = named.select("doc_id", "sha", "n_bytes", "n_words").join(classes.select("sha", "copies"), "sha").join(marked, "sha", "left")
-    return rows.select(
-        "doc_id",
-        "sha",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(gone, F.lit("").cast("binary")).otherwise(F.col("kept_text")).alias("kept_text"),
+        own = _Slice(table, length, words)
+        of = lambda k: answers.filter(pc.equal(answers.column("step"), k))
+        strings = own.merged(_Sorted(own.names(), buckets).hits(of(1)))
+        out: dict[str, list] = {name.split()[0]: [] for name in MARKED.split(", ")}
+        gone = own.covered(_Sorted(strings, buckets).hits(of(2)))
+        for sha, a, b in zip(own.sha, own.offs, own.offs[1:]):
+            if not gone[1][a:b].any():
+                continue
+            out["sha"].append(sha)
+            for of_all, part in ((False, gone[0][a:b]), (True, gone[1][a:b])):
+                kept = own.buf[a:b][~part].tobytes()
+                values = (int(part.sum()), int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+                for name, value in zip(("n_removed", "n_spans", "kept_sha256") if of_all else ("byte_removed", "byte_spans", "byte_sha256"), values):
+                    out[name].append(value)
+            out["kept_text"].append(kept)
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        return pa.table({name: pa.array(out[name], kinds[kind]) for name, kind in (x.split() for x in MARKED.split(", "))})
+
+    names = _met(sliced.applyInArrow(send, SENT), np.uint32)
+    strings = _met(sliced.cogroup(names.groupBy("slice")).applyInArrow(merge, SENT), np.uint64)
+    answers = names.withColumn("step", F.lit(1)).union(strings.withColumn("step", F.lit(2)))
+    marked = written(sliced.cogroup(answers.groupBy("slice")).applyInArrow(mark, MARKED), "marked")
+    copies = rows.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
+    gone = F.col("copies").isNotNull() & F.col("sized")
+    nothing = F.lit("").cast("binary")
+    found = rows.join(copies, "sha", "left").join(marked, "sha", "left")
+    whole = lambda removed, spans, sha: (
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce(removed, F.lit(0))).alias(removed),
+        F.when(gone, 1).otherwise(F.coalesce(spans, F.lit(0))).cast("long").alias(spans),
+        F.when(gone, F.sha2(nothing, 256)).otherwise(F.coalesce(sha, "sha")).alias(sha),
     )
+    out = found.select("doc_id", "sha", "n_bytes", *whole("n_removed", "n_spans", "kept_sha256"), F.when(gone, nothing).otherwise(F.col("kept_text")).alias("kept_text"), *whole("byte_removed", "byte_spans", "byte_sha256"))
+    return out if words else out.drop("byte_removed", "byte_spans", "byte_sha256")
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns take strings of 400 bytes. n_cut counts the bytes in those or in repeated passages of over 50
+    words, which may be shorter; cut says whether there are any."""
+    out = repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=51)
+    short = F.col("n_bytes") < 400  # equal texts of over 50 words and under 400 bytes hold no string of 400
+    kept = lambda c, zero: F.when(short, zero).otherwise(F.col(c))
+    digest = [kept("byte_removed", 0).cast("long").alias("n_removed"), kept("byte_spans", 0).cast("long").alias("n_spans"), kept("byte_sha256", F.col("sha")).alias("kept_sha256")]
+    return out.select("doc_id", "n_bytes", *digest, F.col("n_removed").alias("n_cut"), (F.col("n_removed") > 0).alias("cut"))
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
