@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tractionlens.llm.shared import Hasher, byte_slices, shingles, trimmed, word_spans
 
-FOUND = "doc_id long, contaminated boolean, coverage double, best_item long, items array<long>, n_tiles int"
+FOUND = "doc_id long, row long, contaminated boolean, coverage double, best_item long, items array<long>, n_tiles int"
 
 
 def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -18,43 +20,62 @@ def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return Hasher(buf, lower=True).of(*trimmed(buf, starts, ends)), counts
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, at: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item start, doc start, length), longest first, none overlapping in item or document.
+def _runs(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """All maximal matches of at least `least` words, as (-length, doc start, item start).
+
+    Karp-Rabin hashes of `least` words find the seeds; seeds that follow each other on a diagonal are one match. Each item
+    position meets only the document positions of its own hash, and only the ends of matches are kept, so a word that repeats
+    all along item and document gives as many matches as there are diagonals, not as there are pairs."""
+    keys, windows = _windows(item, least), _windows(doc, least)
+    order = np.argsort(windows, kind="stable")
+    ordered = windows[order]
+    lo, hi = np.searchsorted(ordered, keys), np.searchsorted(ordered, keys, side="right")
+    at = {int(a): order[a:b] for a, b in zip(lo, hi) if a < b}
+    seeds = [int(a) if a < b else -1 for a, b in zip(lo, hi)]
+    starts, ends, known = [], [], {}
+    for i, seed in enumerate(seeds):
+        if seed < 0:
+            continue
+        for out, other, step in ((starts, seeds[i - 1] if i else -1, 1), (ends, seeds[i + 1] if i + 1 < len(seeds) else -1, -1)):
+            if (seed, other, step) not in known:
+                known[seed, other, step] = at[seed][~_among(at[seed], at[other] + step)] if other >= 0 else at[seed]
+            new = known[seed, other, step]
+            if len(new):
+                out.append(np.stack([new - i, np.full(len(new), i)]))
+    if not starts:
+        return []
+    (d, i), (e, k) = (x[:, np.lexsort((x[1], x[0]))] for x in (np.concatenate(starts, axis=1), np.concatenate(ends, axis=1)))
+    return list(zip((i - k - least).tolist(), (d + i).tolist(), i.tolist()))
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in the table; both ascend."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (item start, doc start, length), longest first, none overlapping in item or document; ties go to
+    the first in the document, then in the item.
 
-    `at` has the document positions where a window of `least` words also occurs in the item, so that every match begins at
-    one of them. Each round looks for windows of the search length by Karp-Rabin hashes, extends the hits, marks the longest
-    and then lowers the search length; ties go to the first in the document, then in the item."""
+    Every match that is left once tiles are marked is a part of a maximal one, so a maximal match whose words are taken
+    comes back as its free parts until they are shorter than `least`."""
     free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
-    out: list[tuple[int, int, int]] = []
-    search = max(least, min(len(item), 64))
-    while True:
-        found, longest = [], 0
-        whole = np.convolve(free_item, np.ones(search, int), "valid") == search if len(item) >= search else np.zeros(0, bool)
-        keys = _windows(item, search)
-        index: dict[int, list[int]] = {}
-        for i in np.flatnonzero(whole):
-            index.setdefault(int(keys[i]), []).append(int(i))
-        for j in at if index else ():
-            j = int(j)
-            if j + search > len(doc) or not free_doc[j : j + search].all():
-                continue
-            for i in index.get(int(_windows(doc[j : j + search], search)[0]), ()):
-                n = search
-                while i + n < len(item) and j + n < len(doc) and free_item[i + n] and free_doc[j + n] and item[i + n] == doc[j + n]:
-                    n += 1
-                if n > longest:
-                    longest = n
-                found.append((-n, j, i))
-        if longest > 2 * search:
-            search = longest
+    heap, out = _runs(item, doc, least), []
+    heapq.heapify(heap)
+    left = len(item)
+    while heap and left >= least:
+        n, j, i = heapq.heappop(heap)
+        free = free_item[i : i - n] & free_doc[j : j - n]
+        if free.all():
+            free_item[i : i - n] = free_doc[j : j - n] = False
+            out.append((i, j, -n))
+            left += n
             continue
-        for n, j, i in sorted(found):
-            if free_item[i : i - n].all() and free_doc[j : j - n].all():
-                free_item[i : i - n] = free_doc[j : j - n] = False
-                out.append((i, j, -n))
-        if search == least:
-            return out
-        search = max(least, search // 2 if search > 2 * least else least)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, j + a, i + a))
+    return out
 
 
 def _windows(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -77,27 +98,33 @@ def decontaminate(
     """One row per document: doc_id, contaminated, coverage, best_item, items (contaminating item_ids), n_tiles.
 
     coverage is the largest share of an item's words that tiles of at least `least` words cover; a document is contaminated
-    from `threshold` on. Tiles may come in any order, so reordered passages count. Items with fewer than `least` words and
-    null texts match nothing; ties between items go to the smaller item_id; repeated rows are judged each.
+    from `threshold` on. Tiles may come in any order, so reordered passages count. An item with fewer than `least` words
+    is matched whole. Items without a word match nothing; an item without item_id contaminates but has no place in items and
+    best_item. Null and empty documents are clean. Ties between items go to the smaller item_id; repeated rows are judged
+    each. An empty table of documents gives no rows, an empty benchmark no finding. Only doc_id, item_id and the texts are
+    read, so other columns may have any name. A very long document costs time in proportion to its words for each item
+    that it shares a seed with.
 
     The benchmark is the query set: it is read in blocks of at most `block_tokens` words, each sent to the tasks, and the
     documents are scanned once for each block without a shuffle. Only when there are several blocks are their findings
     grouped by document."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    sizes = items.select("item_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    sizes = items.select(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-total // block_tokens) or 1
-    found = None
+    found, keyed = None, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     for k in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
-        block = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(rows, least, threshold), FOUND)
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
+        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r))
+        block = keyed.mapInArrow(_scan(rows, least, threshold), FOUND)
         found = block if found is None else found.union(block)
     if n_blocks == 1:
-        return found
-    best = F.min(F.struct((-F.col("coverage")).alias("c"), F.coalesce("best_item", F.lit(2**63 - 1)).alias("i")))
-    merged = found.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.max("coverage").alias("coverage"), best.alias("_b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_tiles").cast("int").alias("n_tiles"))
-    return merged.select("doc_id", "contaminated", "coverage", F.when(F.col("coverage") > 0, F.col("_b")["i"]).alias("best_item"), "items", "n_tiles")
+        return found.drop("row")
+    best = F.min(F.struct((-F.col("coverage")).alias("c"), F.coalesce("best_item", F.lit(2**63 - 1)).alias("i"), "best_item"))
+    copies = (F.count("*") / n_blocks).cast("int")  # rows that are equal, each of which is in every block
+    merged = found.groupBy("doc_id", "row").agg(F.max("contaminated").alias("contaminated"), F.max("coverage").alias("coverage"), best.alias("_b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sum("n_tiles").alias("_t"), copies.alias("_n"))
+    merged = merged.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_n"))))
+    return merged.select("doc_id", "contaminated", "coverage", F.col("_b.best_item").alias("best_item"), "items", (F.col("_t") / F.col("_n")).cast("int").alias("n_tiles"))
 
 
 def _scan(rows: list[tuple[int, str]], least: int, threshold: float):
@@ -111,6 +138,7 @@ def _scan(rows: list[tuple[int, str]], least: int, threshold: float):
         hashes, counts = token_hashes(np.frombuffer(joined, np.uint8), offs) if texts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         own = [hashes[a:b] for a, b in zip(counts, counts[1:])]
         seeds, of = shingles(hashes, counts, least) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        short = {n: [i for i, x in enumerate(own) if len(x) == n] for n in range(1, least)}
         long_enough = np.array([len(x) >= least for x in own], bool)
         seeds, of = (seeds[long_enough[of]], of[long_enough[of]]) if len(of) else (seeds, of)
         order = np.argsort(seeds, kind="stable")
@@ -126,32 +154,50 @@ def _scan(rows: list[tuple[int, str]], least: int, threshold: float):
                     left = np.searchsorted(seeds, windows)
                     hit = seeds[np.minimum(left, len(seeds) - 1)] == windows
                 at_all = np.flatnonzero(hit)
+                whole = _whole(words, before, own, short)
                 dirty, cover, best, lists, tiled = np.zeros(n, bool), np.zeros(n), [None] * n, [[] for _ in range(n)], np.zeros(n, np.int32)
-                for d in np.unique(owner[at_all]):
+                for d in np.unique(np.concatenate([owner[at_all], np.array(sorted(whole), np.int64)])):
                     at = at_all[np.searchsorted(at_all, begin[d]) : np.searchsorted(at_all, begin[d + 1])]
-                    lo, hi = np.searchsorted(seeds, windows[at]), np.searchsorted(seeds, windows[at], side="right")
-                    places: dict[int, list[int]] = {}
-                    for j, a, b in zip(at - begin[d], lo, hi):
-                        for i in set(of[a:b].tolist()):
-                            places.setdefault(i, []).append(int(j))
+                    seen = np.unique(windows[at])
+                    lo, hi = np.searchsorted(seeds, seen), np.searchsorted(seeds, seen, side="right")
                     doc = words[before[d] : before[d + 1]]
-                    for i in sorted(places, key=lambda i: rows[i][0]):
-                        got = tiles(own[i], doc, np.array(places[i]), least)
+                    for i in sorted({*whole.get(d, ()), *(int(i) for a, b in zip(lo, hi) for i in of[a:b])}):
+                        got = tiles(own[i], doc, min(least, len(own[i])))
                         share = sum(x for _, _, x in got) / len(own[i])
                         tiled[d] += len(got)
                         if share > cover[d]:
                             cover[d], best[d] = share, rows[i][0]
                         if share >= threshold:
                             dirty[d] = True
-                            lists[d].append(rows[i][0])
+                            if rows[i][0] is not None:
+                                lists[d].append(rows[i][0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(dirty), pa.array(cover), pa.array(best, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(tiled)],
-                    names=["doc_id", "contaminated", "coverage", "best_item", "items", "n_tiles"],
+                    [*(batch.column(c).slice(first, n) for c in range(2)), pa.array(dirty), pa.array(cover), pa.array(best, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(tiled)],
+                    names=["doc_id", "row", "contaminated", "coverage", "best_item", "items", "n_tiles"],
                 )
 
     return scan
 
 
+def _whole(words: np.ndarray, before: np.ndarray, own: list[np.ndarray], short: dict[int, list[int]]) -> dict[int, set[int]]:
+    """The documents that hold items of fewer words than a seed, with those items."""
+    out: dict[int, set[int]] = {}
+    for n, those in short.items():
+        if not those or len(words) < n:
+            continue
+        keys = np.array([_windows(own[i], n)[0] for i in those])
+        order = np.argsort(keys, kind="stable")
+        windows = _windows(words, n)
+        at = np.flatnonzero(np.isin(windows, keys))
+        doc = np.searchsorted(before, at, side="right") - 1
+        inside = at + n <= before[doc + 1]
+        pairs = np.unique(np.stack([doc[inside].astype(np.uint64), windows[at[inside]]]), axis=1)
+        lo, hi = np.searchsorted(keys[order], pairs[1]), np.searchsorted(keys[order], pairs[1], side="right")
+        for d, a, b in zip(pairs[0].astype(int).tolist(), lo, hi):
+            out.setdefault(d, set()).update(those[k] for k in order[a:b])
+    return out
+
+
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tractionlens.llm.shared import Hasher, byte_slices, components, shingles, word_spans, written
 
-SETS = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
+SETS = "doc_id long, key long, n_shingles long, f1 long, f2 long, sketch binary"
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,8 +24,13 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     return values, np.searchsorted(owner, np.arange(len(offs)))
 
 
+def _row_key() -> Column:
+    """A long for (doc_id, text), null ids too: rows of one doc_id with different texts have different keys."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
-    """doc_id, number of shingles, a 128-bit fingerprint of the set, its `size` smallest values."""
+    """doc_id, key of the row, number of shingles, a 128-bit fingerprint of the set, its `size` smallest values."""
 
     def sketch(batches):
         for batch in batches:
@@ -36,11 +41,11 @@ def sketches(docs: DataFrame, k: int, size: int) -> DataFrame:
                 more = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * (values >> np.uint64(7) | np.uint64(1)))])
                 lows = [values[a : min(b, a + size)].tobytes() for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(n), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)), pa.array(lows, pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                    [*(batch.column(i).slice(first, end - first) for i in range(2)), pa.array(n), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)), pa.array(lows, pa.binary())],
+                    names=["doc_id", "key", "n_shingles", "f1", "f2", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), "text").mapInArrow(sketch, SETS)
 
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, size: int, least: float) -> DataFrame:
@@ -127,16 +132,18 @@ def _blockwise(groups: DataFrame, texts: DataFrame, k: int, percent: int, block:
 
 
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, small: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(classes of equal sets with their representative, links between representatives that join all their components).
+    """(classes of equal sets, links between classes that join all their components).
 
     A value's list is worked off from a pivot, its member with the most common values: all members are compared with it, which settles lists whose members are all
     near copies of one text in as many pairs as members. What it leaves open (lists that still span components) is compared
     without emitting pairs: short lists by a join on the value, long ones in blocks of `block` by `block` members, from which
     only links come out. So no pair that could join two components stays untested."""
     share = percent / 100
-    classes = written(sets.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.join(classes, ["n_shingles", "f1", "f2"], "left_semi").join(classes.select("rep", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"])
-    reps = written(reps.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"]), "reps")
+    by = ["n_shingles", "f1", "f2"]
+    first = F.min(F.struct("key", "sketch")).alias("first")
+    classes = sets.where("n_shingles > 0").groupBy(*by).agg(first, F.min("doc_id").alias("least")).select(F.monotonically_increasing_id().alias("rep"), *by, "least", "first.*")
+    classes = written(classes, "classes")  # once: the numbers of the classes stay
+    reps = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
 
     def explode(batches):
         for batch in batches:
@@ -162,15 +169,14 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, size: int, sma
     heaviest = F.max(F.struct("weight", (-F.col("rep")).alias("key"), "rep", "n")).alias("p")
 
     near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    least = max(0.0, share - 0.3)
+    least = max(0.0, share - 0.4)
     head = lists.groupBy("v").agg(heaviest, F.count("*").alias("m")).where("m > 1")
     pairs = lists.join(head, "v").where(F.col("rep") != F.col("p.rep")).where(near(F.col("n"), F.col("p.n")))
     pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
     tested = written(pairs, "pairs")
     wanted = lists.join(head.select("v"), "v", "left_semi").select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    # of rows with one doc_id, the one whose set is the class's
-    texts = written(texts.dropDuplicates(["rep"]), "texts")
+    keyed = docs.select(_row_key().alias("key"), "text").join(classes.select("rep", "key").join(wanted, "rep", "left_semi"), "key")
+    texts = written(keyed.select("rep", "text").dropDuplicates(["rep"]), "texts")  # rows that are equal have one key
     check = lambda p: written(_verified(_estimated(p, reps, size, least), texts, k, percent), "links")
     found = check(tested)
     named = components(found)
@@ -192,17 +198,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
     Words are A-Z lower-cased runs of non-space; a set holds the distinct k-word shingles, a text of fewer words its whole
     sequence, a null or empty text nothing (it links with nothing). Documents link at 100 * intersection >= percent * union
     of the full sets; component_id is the smallest doc_id reachable; kept is doc_id = component_id. Rows of one doc_id are
-    one document with several texts. Only doc_id and text are read.
+    one document with several texts: they link, and each row has its own n_shingles. Rows without doc_id link as any other;
+    their component_id is the smallest id reachable, null if there is none, and they are kept only then. An empty table
+    gives no rows. Only doc_id and text are read. A very long text costs memory in proportion to its words.
 
-    Equal sets become one class first. Two texts above the threshold share at least 0.4 * size of the `size` values of their
-    sketches except with a chance below 1e-9 a pair (sets up to 0.8 * size are kept whole: no chance at all)."""
+    Equal sets become one class first, with the text of one of its rows. Two texts at the threshold share 0.4 * size of the
+    `size` smallest values of their union except with a chance below 1e-9 a pair (64 values, 0.8: binomial, 1e-12); sets up
+    to 0.8 * size are kept whole: no chance at all."""
     sets = written(sketches(docs, k, size), "sets")
+    by = ["n_shingles", "f1", "f2"]
     classes, found = links(docs, sets, k, percent, size, small, block)
-    named = components(found)
-    group = classes.join(named, classes.rep == named.id, "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_c"))
-    out = sets.select("doc_id", "n_shingles", "f1", "f2").join(group, ["n_shingles", "f1", "f2"], "left")
+    members = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *by)
+    several = members.groupBy("doc_id").agg(F.min(F.xxhash64(*by)).alias("_l"), F.max(F.xxhash64(*by)).alias("_h")).where("_l <> _h").select("doc_id")
+    again = members.join(several, "doc_id").join(classes.select("rep", *by), by).select("doc_id", "rep").distinct()
+    same = again.join(again.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    named = components(found.union(same))
+    linked = classes.select("rep", "least").join(named, F.col("rep") == F.col("id")).select("rep", "least", "component")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("_c"))
+    group = classes.join(linked.join(smallest, "component").select("rep", "_c", F.lit(True).alias("_linked")), "rep", "left")
+    group = group.select(*by, F.when(F.col("_linked"), F.col("_c")).otherwise(F.col("least")).alias("_c"))
+    out = sets.select("doc_id", *by).join(group, by, "left")
     component: Column = F.coalesce("_c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.when(F.col("doc_id").isNull(), component.isNull()).otherwise(component == F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
