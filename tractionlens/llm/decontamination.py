@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import Hasher, byte_slices, shingles, trimmed, word_spans
+from tractionlens.llm.shared import byte_slices, shingles, table, trimmed, word_spans, Hasher
 
 FOUND = "doc_id long, row long, contaminated boolean, coverage double, best_item long, items array<long>, n_tiles int"
 
@@ -199,7 +199,7 @@ def _whole(words: np.ndarray, before: np.ndarray, own: list[np.ndarray], short:
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES = {"op1_decontamination": op1_decontamination}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import mix
+from tractionlens.llm.shared import mix, table
 
 PREDICTED = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 _EDGE = np.uint32(0)
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, training: DataFrame, per_lang: int = 400, order: i
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     out = identify(docs, docs.where(third != 1))
     return out.withColumn("held_out", F.coalesce(third == 1, F.lit(False)))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import Hasher, byte_slices, components, shingles, word_spans, written
+from tractionlens.llm.shared import byte_slices, components, shingles, table, word_spans, written, Hasher
 
 SETS = "doc_id long, key long, n_shingles long, f1 long, f2 long, sketch binary"
 
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, size: int =
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
 _SQL = r"""

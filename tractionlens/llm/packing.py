@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import written
+from tractionlens.llm.shared import table, written
 from tractionlens.llm.subwords import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op4_packing": op4_packing}

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import words
+from tractionlens.llm.shared import table, words
 
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\f\r"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TERMINAL = r"[.!?:;\"'»”…)\]]\s*$"
 NAVIGATION = r"(?i)(^\s*(home|menu|next|previous|back|login|log in|sign in|sign up|search|share|tweet|skip to content|read more|click here|see also|contact us|about us|site map|sitemap)\b.{0,24}$)|([|»›•].*[|»›•].*[|»›•])"
 BOILERPLATE = r"(?i)(all rights reserved|copyright \(c\)|©|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|enable javascript|subscribe to our newsletter|powered by|lorem ipsum|licensed under|released under)"
 
 
-def _line_words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+#: What a text must hold, lower-cased, for a line of it to be boilerplate or navigation by separators; and the most
+#: characters other than white space that a line with a navigation word has.
+MARKS = ("all rights reserved", "copyright (c)", "©", "terms of ", "privacy policy", "cookie", "enable javascript", "subscribe to our newsletter", "powered by", "lorem ipsum", "licensed under", "released under", "|", "»", "›", "•")
+NAVIGATION_CHARS = 39
 
 
-def line_fails(line: Column, max_punctuation: float, min_open_words: int) -> Column:
+def line_fails(line: Column, words: Column, max_punctuation: float, min_open_words: int, marked: bool = True) -> Column:
     """A line with a word fails if it has more than `max_punctuation` ASCII punctuation marks a word, is navigation or
-    boilerplate, or has under `min_open_words` words and no closing punctuation. A line without a word never fails."""
-    n = _line_words(line)
-    marks = F.length(line) - F.length(F.translate(line, PUNCTUATION, ""))
-    bad = (marks > n * max_punctuation) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | ((n < min_open_words) & ~line.rlike(TERMINAL))
-    return (n > 0) & bad
+    boilerplate, or has under `min_open_words` words and no closing punctuation. A line without a word never fails.
+
+    With `marked` off, for lines of texts without any of MARKS, only short lines meet a pattern."""
+    n = F.size(words)
+    few = n < min_open_words
+    bad = F.regexp_count(line, F.lit(f"[{re.escape(PUNCTUATION)}]")) > n * max_punctuation
+    if marked:
+        bad = bad | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    else:
+        bad = bad | ((F.length(F.array_join(words, "")) <= NAVIGATION_CHARS) & line.rlike(NAVIGATION))
+    return (n > 0) & (bad | (few & ~line.rlike(TERMINAL)))
 
 
 def quality_rules(
@@ -41,33 +50,45 @@ def quality_rules(
 
     Verdict: kept if not base_failed and the failed lines hold at most `max_lost` of the characters (without white
     space) of all lines. Null or empty text: no words, base_failed, not kept, clean_text ''. Repeated rows are judged
-    each by itself; only doc_id and text are read, so other columns may have any name. No shuffle: every rule sees one row.
+    each by itself; an empty table gives no rows; only doc_id and text are read, so other columns may have any name. A text's
+    lines, words and windows are arrays of its row, so a very long text takes memory in proportion to its words. No shuffle: every rule sees one row.
     `carry` adds the input row as the struct column input_row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     carried = [F.struct("*").alias("input_row")] if carry else []
     df = docs.select("doc_id", text.alias("text"), *carried)
-    df = df.withColumns({"_words": words(F.col("text")), "_lines": F.split("text", "\n", -1)})
-    triples = F.when(
-        F.size("_words") >= 3,
-        F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))),
-    )
-    judged = F.transform("_lines", lambda line: F.struct(line.alias("line"), line_fails(line, max_punctuation, min_open_words).alias("bad"), (_line_words(line) > 0).alias("full")))
-    df = df.withColumns({"_sorted": F.sort_array(triples), "_judged": judged})
+    joined = lambda ws: F.length(F.array_join(ws, ""))
+    df = df.withColumn("_lines", F.transform(F.split("text", "\n", -1), lambda line: F.struct(line.alias("line"), words(line).alias("ws"))))
+
+    def judged(marked: bool) -> Column:
+        bad = lambda x: line_fails(x["line"], x["ws"], max_punctuation, min_open_words, marked)
+        return F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), bad(x).alias("bad"), (F.size(x["ws"]) > 0).alias("full"), joined(x["ws"]).alias("solid")))
+
+    low = F.lower("text")
+    any_mark = F.contains(low, F.lit(MARKS[0]))
+    for mark in MARKS[1:]:
+        any_mark = any_mark | F.contains(low, F.lit(mark))
+    df = df.withColumns({"_words": F.flatten(F.transform("_lines", lambda x: x["ws"])), "_judged": F.when(any_mark, judged(True)).otherwise(judged(False))})
+    # most texts repeat no window: only the others sort theirs, with their places
+    triple = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    df = df.withColumn("_windows", F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), triple)))
+    twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    df = df.withColumn("_sorted", F.when(twice, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter("_sorted", lambda x, j: (F.get("_sorted", j - 1)["h"] == x["h"]) | (F.get("_sorted", j + 1)["h"] == x["h"]))
-    df = df.withColumn("_again", F.transform(again, lambda x: x["i"]))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2)))))
+    places = F.sort_array(F.transform(again, lambda x: x["i"]))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    covered = F.aggregate(places, none, lambda a, i: F.struct((a["n"] + 3 - F.greatest(a["end"] - i, F.lit(0))).alias("n"), (i + 3).alias("end")))["n"]
     full = F.filter("_judged", lambda x: x["full"])
-    solid = lambda xs: F.length(F.translate(F.array_join(F.transform(xs, lambda x: x["line"]), ""), SPACES, ""))
+    failing = F.filter("_judged", lambda x: x["bad"])
     counts = (
         F.array_join(F.transform(F.filter("_judged", lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text"),
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        joined("_words").cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{re.escape(SYMBOLS)}]")).cast("long").alias("n_symbols"),
         (F.size(full) - F.size(F.array_distinct(F.transform(full, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_words") >= 3, covered).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(full).cast("long").alias("n_lines"),
-        F.size(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("n_failed_lines"),
-        solid(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("lost_chars"),
+        F.size(failing).cast("long").alias("n_failed_lines"),
+        F.aggregate(failing, F.lit(0), lambda a, x: a + x["solid"]).cast("long").alias("lost_chars"),
     )
     # a generator over one row: a filter on the counts then stays above it, and the rules run once
     df = df.select("doc_id", "text", *(["input_row"] if carry else []), F.inline(F.array(F.struct(*counts))))
@@ -76,7 +97,7 @@ def quality_rules(
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
     return out.drop("text", "clean_text")
 
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import Hasher, byte_slices, word_spans, written
+from tractionlens.llm.shared import byte_slices, table, word_spans, written, Hasher
 
 MARKED = "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text binary, byte_removed long, byte_spans long, byte_sha256 string"
 SENT = "bucket int, slice int, hashes binary, twice binary"
@@ -238,7 +238,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, slice_bytes: int = 1 <<
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's columns take strings of 400 bytes. n_cut counts the bytes in those or in repeated passages of over 50
     words, which may be shorter; cut says whether there are any."""
-    out = repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=51)
+    out = repeated_strings(table(spark, sf_dir, "documents"), words=51)
     short = F.col("n_bytes") < 400  # equal texts of over 50 words and under 400 bytes hold no string of 400
     kept = lambda c, zero: F.when(short, zero).otherwise(F.col(c))
     digest = [kept("byte_removed", 0).cast("long").alias("n_removed"), kept("byte_spans", 0).cast("long").alias("n_spans"), kept("byte_sha256", F.col("sha")).alias("kept_sha256")]

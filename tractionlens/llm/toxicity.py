@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import Hasher, byte_slices, trimmed, word_spans
+from tractionlens.llm.shared import byte_slices, table, trimmed, word_spans, Hasher
 
 SCORES = "doc_id long, severity double, grade int, toxic boolean"
 
@@ -133,7 +133,7 @@ def toxicity(
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}
