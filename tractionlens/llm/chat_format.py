@@ -10,7 +10,7 @@ from tractionlens.llm.shared import written
 
 PAYLOAD = "tool_calls array<struct<id string, name string, arguments map<string,string>, depends_on string>>, tool_call_id string, content string"
 #: (tool, parameter, type, required); types: string, integer, number, boolean.
-SCHEMAS = (("answer", "query", "string", True), ("answer", "turn", "integer", True), ("answer", "style", "string", False))
+SCHEMAS = (("answer", "query", "string", True), ("answer", "turn", "integer", True), ("answer", "limit", "integer", False), ("answer", "style", "string", False))
 _TYPES = {"string": r"(?s)^.*$", "integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": r"^(true|false)$"}
 
 
@@ -31,25 +31,31 @@ def _valid(schemas: tuple[tuple[str, str, str, bool], ...], name: Column, argume
 
 
 def _ordered(nodes: DataFrame) -> DataFrame:
-    """nodes with `_at`, `_depth`, `_cyclic`: a node never comes before what it depends on.
-
-    Only edges that the log's own order breaks need work: a node that its parent follows moves to the parent's place, one
-    step deeper. That goes on until nothing moves; a chain is no longer than the nodes that moved in the conversation, so a
-    node that is deeper lies on a cycle (or behind one) and goes back to its own turn."""
-    state = written(nodes.select("conv_id", "id", "parent", F.col("turn").alias("own"), F.col("turn").alias("at"), F.lit(0).alias("depth")), "order")
-    while True:
-        parent = state.select("conv_id", F.col("id").alias("parent"), F.col("at").alias("p_at"), F.col("depth").alias("p_depth"))
-        joined = state.where("parent IS NOT NULL").join(parent, ["conv_id", "parent"])
-        late = joined.where("p_at > at OR (p_at = at AND p_depth >= depth)").groupBy("conv_id", "id").agg(F.max(F.struct("p_at", "p_depth")).alias("to"))
-        late = written(late, "late")
-        if not late.limit(1).count():
-            break
-        state = state.join(late, ["conv_id", "id"], "left").select("conv_id", "id", "parent", "own", F.coalesce("to.p_at", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("to.p_depth") + 1).otherwise(F.col("depth")).alias("depth"))
-        moved = state.groupBy("conv_id").agg(F.count_if(F.col("depth") > 0).alias("moved"))
-        state = state.join(moved, "conv_id")
-        cyclic = F.col("depth") > F.col("moved")
-        state = written(state.select("conv_id", "id", F.when(cyclic, None).otherwise(F.col("parent")).alias("parent"), "own", F.when(cyclic, F.col("own")).otherwise(F.col("at")).alias("at"), F.when(cyclic, 0).otherwise(F.col("depth")).alias("depth")), "order")
-    return state.select("conv_id", "id", F.col("at").alias("_at"), F.col("depth").alias("_depth"))
+    """nodes (conv_id, id, parent, turn) with `_at`, `_depth`: a node never comes before what it depends on.
+
+    A node goes to the latest turn of its chain of parents, as deep as the farthest parent of that turn is away. Only
+    conversations in which some parent does not come earlier need work. There each round doubles the part of the chain that a
+    node knows, so a chain of n calls takes log2(n) rounds. A node whose chain is longer than its conversation has nodes lies
+    on a cycle or behind one and keeps its own turn."""
+    node = nodes.select("conv_id", "id", "parent", F.col("turn").alias("own"))
+    parent = node.select("conv_id", F.col("id").alias("parent"), F.col("own").alias("p_own"))
+    edges = node.where("parent IS NOT NULL").join(parent, ["conv_id", "parent"])
+    broken = edges.where("p_own >= own").select("conv_id").distinct()
+    start = node.join(broken, "conv_id", "left_semi").join(edges.select("conv_id", "id", F.col("parent").alias("next")), ["conv_id", "id"], "left")
+    state = written(start.select("conv_id", "id", "own", "next", F.col("own").alias("at"), F.lit(0).alias("depth"), F.lit(1).alias("steps")), "order")
+    longest = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    known = 1
+    while known <= longest and state.where("next IS NOT NULL").limit(1).count():
+        far = state.select("conv_id", F.col("id").alias("next"), F.col("next").alias("n_next"), F.col("at").alias("n_at"), F.col("depth").alias("n_depth"), F.col("steps").alias("n_steps"))
+        both = state.join(far, ["conv_id", "next"], "left")
+        later = F.coalesce(F.col("n_at") >= F.col("at"), F.lit(False))
+        at = F.when(later, F.col("n_at")).otherwise(F.col("at"))
+        depth = F.when(later, F.col("steps") + F.col("n_depth")).otherwise(F.col("depth"))
+        state = written(both.select("conv_id", "id", "own", F.col("n_next").alias("next"), at.alias("at"), depth.alias("depth"), (F.col("steps") + F.coalesce("n_steps", F.lit(0))).alias("steps")), "order")
+        known *= 2
+    moved = state.where("next IS NULL").select("conv_id", "id", F.col("at").alias("_at"), F.col("depth").alias("_depth"))
+    out = node.join(moved, ["conv_id", "id"], "left")
+    return out.select("conv_id", "id", F.coalesce("_at", "own").alias("_at"), F.coalesce("_depth", F.lit(0)).alias("_depth"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...] = SCHEMAS, bucket: int = 1024) -> DataFrame:
@@ -59,7 +65,9 @@ def link_tool_calls(messages: DataFrame, schemas: tuple[tuple[str, str, str, boo
     message. Status: ok, invalid (arguments against the schema), unanswered (no result), duplicate (a later call or result
     of the same id), orphan (a result without a call), message. Calls and results meet by a hash join on (conv_id, id), a
     null conv_id meets nothing. Order: by turn, but no call before the call it depends on and no result before its call;
-    ties by kind, position and id. json has sorted keys, no spaces and no nulls. Other columns are not read.
+    ties by kind, position and id. json has sorted keys, no spaces and no nulls. Repeated rows are calls and results of one id,
+    so all but the first are duplicates; equal ones share the first's status. An empty table gives no rows. Other columns are
+    not read, so they may have any name; a very long text is one row's JSON.
 
     seq comes from counts by (conversation, range of turns), so one huge conversation is numbered by many tasks."""
     parsed = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -97,12 +105,21 @@ def link_tool_calls(messages: DataFrame, schemas: tuple[tuple[str, str, str, boo
 
 
 def as_tool_log(conversations: DataFrame) -> DataFrame:
-    """The conversations as a tool log: a user turn calls `answer` (depending on the call two turns before), the assistant
-    turn after it is the result, and other turns stay messages."""
-    number = F.col("turn").cast("string")
-    call = F.struct(number.alias("id"), F.lit("answer").alias("name"), F.create_map(F.lit("query"), F.coalesce("text", F.lit("")), F.lit("turn"), number).alias("arguments"), F.when(F.col("turn") >= 2, (F.col("turn") - 2).cast("string")).alias("depends_on"))
+    """The conversations as a tool log that has what real ones have; all of it follows from the text's length n.
+
+    A user turn calls `answer` with its text (none: the required query is missing), its turn, and as limit n, or the text's
+    first word if n mod 5 = 1, which is no integer. It depends on the call before it, on the one after it
+    (n mod 4 = 2; so calls have to move, and two that name each other are a cycle) or on none (n mod 4 = 0). With
+    n mod 7 = 0 it repeats the id of the call before. The assistant turn after it is its result; other turns stay messages."""
+    turn, n = F.col("turn"), F.coalesce(F.length("text"), F.lit(0))
+    name = lambda at: F.concat(F.lit("c"), at.cast("string"))
+    limit = F.when(n % 5 == 1, F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0)).otherwise(n.cast("string"))
+    fields = (("query", F.col("text")), ("turn", turn.cast("string")), ("limit", limit))
+    arguments = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in fields]), F.array(*[v for _, v in fields])), lambda _, v: v.isNotNull())
+    parent = F.when(n % 4 == 2, name(turn + 2)).when((n % 4 != 0) & (turn >= 2), name(turn - 2))
+    call = F.struct(F.when((n % 7 == 0) & (turn >= 2), name(turn - 2)).otherwise(name(turn)).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"), parent.alias("depends_on"))
     text = F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
-    text = text.when(F.col("role") == "assistant", F.to_json(F.struct((F.col("turn") - 1).cast("string").alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))).otherwise(F.col("text"))
+    text = text.when(F.col("role") == "assistant", F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))).otherwise(F.col("text"))
     return conversations.select("conv_id", "turn", "role", text.alias("text"))
 
 

@@ -205,16 +205,30 @@ def fit(rows: list[tuple[str, str]], order: int) -> Identifier:
     return Identifier(langs, models, order, min((0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4), key=loss), limit)
 
 
+def chosen(training: DataFrame, per_lang: int, ranges: int = 1024) -> DataFrame:
+    """(lang, _h, text) of at most `per_lang` texts of each language: those with the smallest hashes of doc_id and text.
+
+    Counts by range of the hash say how far each language has to be read, so no task ranks all rows of one language; equal
+    rows count once. The keys of the chosen rows, a bounded number a language, then meet the texts."""
+    pick = training.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("doc_id", "text").alias("_h"), "text")
+    keys = pick.select("lang", "_h", F.floor(F.shiftrightunsigned("_h", 1) / (2**63 // ranges)).alias("_b"))
+    upto = F.sum("_n").over(W.partitionBy("lang").orderBy("_b")) - F.col("_n")
+    near = keys.groupBy("lang", "_b").agg(F.count("*").alias("_n")).withColumn("_n", upto).where(F.col("_n") < per_lang).select("lang", "_b")
+    first = keys.join(F.broadcast(near), ["lang", "_b"]).select("lang", "_h").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("_h", 1), "_h"))
+    first = first.withColumn("_r", rank).where(F.col("_r") <= per_lang).drop("_r")
+    return pick.join(F.broadcast(first), ["lang", "_h"]).dropDuplicates(["lang", "_h"])
+
+
 def identify(docs: DataFrame, training: DataFrame, per_lang: int = 400, order: int = 5) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, cross_entropy (nats a character), rejected.
 
     Null text or text without a letter: lang_pred 'und', score 0, rejected. Rows repeat as in the input; columns other than
     doc_id and text are not read. Without training rows every text is 'und'. The models are fitted on at most `per_lang`
-    whole texts of each language (the smallest hashes of doc_id), which bounds what is sent to the tasks."""
-    pick = training.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = pick.select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang)
-    rows = [(r["lang"], r["text"]) for r in pick.join(chosen, ["doc_id", "lang"]).orderBy("lang", "_r").select("lang", "text").collect()]
+    whole texts of each language (the smallest hashes of doc_id and text, equal rows once), which bounds what is sent to the
+    tasks. Languages that fit equally well: the first by name. An empty table gives no rows. Texts are read in runs of about
+    2 million characters; a longer one is a run of its own."""
+    rows = [(r["lang"], r["text"]) for r in chosen(training, per_lang).orderBy("lang", "_h", "text").collect()]
     model = fit(rows, order) if rows else None
 
     def predict(batches):

@@ -50,12 +50,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, buckets: int, max_rows
 def fit(rows: list[tuple[int, np.ndarray]], buckets: int, min_z: float, epochs: int, l2: float) -> Ordinal:
     """Weights for the words whose document rates differ by at least `min_z` standard errors between toxic and clean texts.
 
-    Labels 0 and 1 become grades 0, 1 and 2: a toxic text is of grade 2 if it holds more than the median number of the
-    words that mark toxic texts. Labels above 1 are taken as grades as they are."""
+    The labels are the grades: 0 is clean, each step above it more severe. A table of 0 and 1 has one threshold; with more
+    grades all thresholds share the weights."""
     if not rows or len({min(y, 1) for y, _ in rows}) < 2:
         rate = float(np.mean([y for y, _ in rows])) if rows else 0.0
-        return Ordinal(np.zeros(buckets), np.array([-20.0 if rate > 0.5 else 20.0, 25.0]))
-    y = np.array([t for t, _ in rows])
+        return Ordinal(np.zeros(buckets), np.array([-20.0 if rate > 0.5 else 20.0]))
+    y = np.array([max(t, 0) for t, _ in rows])
     bad = y > 0
     seen = np.zeros((2, buckets))
     for t, x in rows:
@@ -67,9 +67,6 @@ def fit(rows: list[tuple[int, np.ndarray]], buckets: int, min_z: float, epochs:
     kept = np.flatnonzero((np.abs(z) >= min_z) & (seen.sum(0) >= 5))
     slot = np.full(buckets, -1)
     slot[kept] = np.arange(len(kept))
-    if y.max() <= 1:
-        marks = np.array([(z[x] >= min_z).sum() if t else 0 for t, x in rows])
-        y = np.where(bad, np.where(marks > np.median(marks[bad]), 2, 1), 0)
     # the texts are sparse: (text, kept feature) pairs in place of a matrix
     row = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
     column = slot[np.concatenate([f for _, f in rows])]
@@ -109,7 +106,9 @@ def toxicity(
     """One row per document: doc_id, severity (expected grade), grade (most likely one), toxic (severity >= threshold).
 
     Null and empty texts have no feature: their severity is that of a text without marks. Repeated rows are scored each.
-    Without labels of both kinds no weight is learned. The model is fitted on at most `max_rows` labelled texts; all texts
+    Grades that are equally likely: the lower one. Of several labels of a doc_id the highest counts, negative ones are 0.
+    Without labels of both kinds no weight is learned. An empty table of documents gives no rows. Only doc_id, text and toxic
+    are read, so other columns may have any name. A very long text costs memory in proportion to its words. The model is fitted on at most `max_rows` labelled texts; all texts
     are scored in one pass without a shuffle, and only `buckets` weights travel to the tasks."""
     model = fit(labelled_features(docs, labels, buckets, max_rows), buckets, min_z, epochs, l2)
     marked = np.flatnonzero(model.weights)

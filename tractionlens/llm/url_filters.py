@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +15,32 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-_BAD = ("casino-win", "cheap-pills", "free-bets", "poker-bonus", "slots-jackpot", "pills-online", "cheap-loans", "replica-watches", "hot-singles", "bet-now", "win-prizes", "xxx-cams", "adult-x")
-_GOOD = ("garden", "library", "weather", "cooking", "history", "science", "mathnotes", "travelog", "newsroom", "museum", "chess", "music", "nation", "stations", "motion", "fiction", "theory", "thesis", "otherside", "anthem", "thistle", "north", "earth", "health", "theatre", "hither", "edition", "reaction", "thorn", "heron", "shed", "sentinel")
+#: Words of unwanted hosts by kind (gambling, medicine, adult, money, counterfeits, advertising, link spam, stolen software)
+#: and of ordinary ones. Hosts are made of two of them by a rule, so no host is listed.
+_BAD = ("casino poker slots jackpot betting bets roulette bingo lottery win", "pills viagra pharmacy meds slim diet cheap", "adult xxx porn sex cams escorts singles hot", "loans payday credit forex cash rich bonus", "replica watches outlet discount bags", "ads adserver banner track tracker clicks popup affiliate", "spam backlinks links traffic seo farm", "crack keygen warez serial free download prizes")
+_GOOD = "garden library weather cooking history science math travel news museum chess music nation station motion fiction theory thesis family anthem thistle north earth health theatre edition reaction thorn heron house sentinel school city river mountain bakery orchard village harbour church council college journal review letters nature birds forest bridge market farm track winter window freedom linked cashmere"
+_SYLLABLES = "ber lin ton ham ford ville stead mar wick dale shire land burg mont port ing the tion er an re th ly ble sh on"
 _SHAPES = ("http://{0}.example.org/en/{1}", "https://www.{0}.example.net/de/{1}.html", "http://blog.{0}.example.com/fr/{1}?page=2", "https://m.{0}.example.org/es/{1}/", "https://{0}.example.net/fr/{1}#top")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default training table, (url, label): every stem in every shape. Pass a table of your own to url_filter()."""
-    rows = [(shape.format(stem, 1000 + 37 * (i * len(_SHAPES) + j)), label) for label, stems in ((1.0, _BAD), (0.0, _GOOD)) for i, stem in enumerate(stems) for j, shape in enumerate(_SHAPES)]
+def labelled_hosts() -> list[tuple[str, float]]:
+    """(first part of a host, 1 unwanted or 0): pairs of words of one kind and of words of neighbouring kinds, with and
+    without a hyphen; ordinary words, pairs of them, and names of two or three syllables."""
+    kinds = [k.split() for k in _BAD]
+    bad = []
+    for own, other in zip(kinds, kinds[1:] + kinds[:1]):
+        for i, word in enumerate(own):
+            bad += [word, f"{word}-{own[(i + 1) % len(own)]}", f"{own[(i + 2) % len(own)]}{word}", f"{word}-{other[i % len(other)]}", f"{other[(i + 1) % len(other)]}-{word}"]
+    words, parts = _GOOD.split(), _SYLLABLES.split()
+    good = [x for i, w in enumerate(words) for x in (w, f"{w}-{words[(i + 7) % len(words)]}", f"{words[(i + 3) % len(words)]}{w}")]
+    good += [a + b for i, a in enumerate(parts) for b in parts[i % 3 :: 3]] + [a + parts[(i + 5) % len(parts)] + parts[(i + 9) % len(parts)] for i, a in enumerate(parts)]
+    return [(x, 1.0) for x in bad] + [(x, 0.0) for x in good]
+
+
+def labelled_urls(spark: SparkSession, hosts: list[tuple[str, float]] | None = None) -> DataFrame:
+    """The default training table, (url, label): every host in one of the shapes. Pass a table of your own to url_filter()."""
+    hosts = labelled_hosts() if hosts is None else hosts
+    rows = [(_SHAPES[(i * i + i // 5) % len(_SHAPES)].format(host, 1000 + 7919 * i % 9000), label) for i, (host, label) in enumerate(hosts)]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -50,29 +68,32 @@ def fit(labelled: DataFrame, sizes: tuple[int, ...], buckets: int, max_rows: int
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(max_rows)
     rows = rows.select(F.col("label").cast("double").alias("label"), host.alias("_h"), path.alias("_p"))
-    rows = rows.select("label", F.monotonically_increasing_id().alias("_id"), grams(F.col("_h"), F.col("_p"), sizes, buckets).alias("_g"))
-    counts = rows.select("_id", "label", F.size("_g").alias("_n"), F.explode("_g").alias("_b")).groupBy("_id", "label", "_n", "_b").count()
-    pairs = counts.groupBy("_id", "label").agg(F.map_from_entries(F.collect_list(F.struct("_b", F.col("count") / F.sqrt("_n")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)))
-    model = LogisticRegression(maxIter=60, regParam=reg, standardization=False).fit(pairs.select("label", array_to_vector(dense).alias("features")))
-    return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
+    rows = rows.select("label", grams(F.col("_h"), F.col("_p"), sizes, buckets).cast("array<string>").alias("_g")).cache()
+    counter = CountVectorizer(inputCol="_g", outputCol="features", vocabSize=buckets).fit(rows)
+    model = LogisticRegression(maxIter=60, regParam=reg, standardization=False).fit(counter.transform(rows))
+    rows.unpersist()
+    weights = [0.0] * buckets
+    for bucket, x in zip(counter.vocabulary, model.coefficients.toArray()):
+        weights[int(bucket)] = float(x)
+    return weights, float(model.intercept)
 
 
 def url_filter(
     pages: DataFrame,
     labelled: DataFrame | None = None,
     rules: tuple[tuple[str, str, str], ...] = RULES,
-    sizes: tuple[int, ...] = (3, 4),
-    buckets: int = 1024,
+    sizes: tuple[int, ...] = (3, 4, 5),
+    buckets: int = 8192,
     threshold: float = 0.5,
     max_rows: int = 10_000,
-    reg: float = 0.0001,
+    reg: float = 0.003,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, block_score.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest fitting rule decides,
     else the model: block from `threshold` on. Null or malformed url: host and path are empty, no rule fits and the model
-    judges the empty parts. Rows repeat as in the input; only page_id and url are read. One pass without a shuffle: rules
+    judges the empty parts. Two rules of one length: the later one in `rules`. Rows repeat as in the input, an empty table
+    gives no rows; only page_id and url are read. A very long url is an array of its n-grams. One pass without a shuffle: rules
     and weights (`buckets` numbers) are literals."""
     weights, intercept = fit(labelled if labelled is not None else labelled_urls(pages.sparkSession), sizes, buckets, max_rows, reg)
     host, path = host_and_path(F.col("url"))
@@ -84,7 +105,7 @@ def url_filter(
         rule, action = F.when(fits, rule_host + rule_path).otherwise(rule), F.when(fits, act).otherwise(action)
     table = F.lit(weights) if weights else F.array()
     df = df.withColumn("_g", grams(F.col("host"), F.col("path"), sizes, buckets))
-    margin = F.aggregate("_g", F.lit(0.0), lambda a, g: a + F.get(table, g)) / F.sqrt(F.greatest(F.size("_g"), F.lit(1))) + intercept
+    margin = F.aggregate("_g", F.lit(0.0), lambda a, g: a + F.get(table, g))  + intercept
     df = df.select("page_id", "host", "path", rule.alias("rule"), action.alias("_action"), (1 / (1 + F.exp(-margin))).alias("block_score"))
     verdict = F.coalesce("_action", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return df.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
