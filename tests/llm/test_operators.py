@@ -309,5 +309,5 @@ def test_model_learns_from_all_training_texts(spark):
     assert train_everywhere(table.limit(0), model, default_path(), 16, 200, 2, 1) is model
     few = score_texts(table, F.col("doc_id") == 100, steps=10, tokens=200, max_train_docs=1, classes=64, d=8).collect()
     all_texts = score_texts(table.union(docs(spark, [(102, "zebra quilts " * 400)])), F.col("doc_id") == 100, steps=10, tokens=200, max_train_docs=1, classes=64, d=8, every=2).collect()
-    score = lambda rows: next(r["attention_score"] for r in rows if r["doc_id"] == 100)
+    score = lambda rows: next(r["score"] for r in rows if r["doc_id"] == 100)
     assert score(all_texts) > score(few) / 2
