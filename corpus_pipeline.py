@@ -34,13 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id, or where none has an id the one with
-    the smallest stand-in. Of equal texts without an id one row stays; texts without words link with nothing and all stay."""
+    the smallest stand-in. Of several rows of that id one stays; texts without words link with nothing and all stay."""
     keyed = docs.select(*COLUMNS, _key().alias("_key"))
     kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_key")).distinct()
     rows = keyed.join(kept, "_key", "left_semi")
-    again = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    one = rows.where(again).groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return rows.where(~again).select(*COLUMNS).union(one)
+    linked = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    one = rows.where(linked).groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.where(~linked).select(*COLUMNS).union(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
