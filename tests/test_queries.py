@@ -10,7 +10,11 @@ from tractionlens.functions import text as T
 from tractionlens.operators import analysis as A
 from tractionlens.operators import feedback as B
 from tractionlens.operators import mining as M
-from tractionlens.plans import registry
+from tractionlens.operators import selection as R
+from tractionlens.operators import validation as V
+from tractionlens.plans import more, registry  # noqa: F401
+
+from tractionlens.sources import posts as S
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "documents events pages conversations labels benchmark".split()
@@ -46,16 +50,63 @@ def test_yates(spark):
 
 
 def test_hook_rules(spark):
-    cases = [("Is it?", "question"), ("[OC] x", "tagged"), ("how to cook", "tutorial"), ("see 3 cats", "number"), ("I saw", "story"), ("plain", "statement"), ("what is free", "curiosity")]
-    df = spark.createDataFrame(cases, "t string, want string")
-    assert [r["t"] for r in df.where(T.hook_type(F.col("t")) != F.col("want")).collect()] == []
+    long = "and then one day i went to the market to see what was for sale there"
+    cases = [
+        ("Is it?", "curious_question"), ("Is it 3?", "number_shock"), ("cats vs dogs", "comparison_analysis"), ("how to cook", "tutorial_howto"), ("tired of rules", "pain_point"),
+        ("my journey as a cook", "identity_label"), ("free tool", "resource_share"), ("see 3 cats", "number_shock"), (long, "story_opener"), ("plain", "curious_question"), ("hot take", "controversial_opinion"),
+    ]
+    df = spark.createDataFrame(cases, "t string, want string").withColumn("got", T.hook_type(F.col("t")))
+    assert [tuple(r) for r in df.where("got <> want").collect()] == []
 
 
 def test_narrative_order(spark):
     body = "x" * 210 + " my end?"
     df = spark.createDataFrame([(body,)], "b string")
     r = df.select(T.narrative_mode(F.col("b")).alias("a"), T.narrative_mode(F.col("b"), story_first=True).alias("c"), T.narrative_mode(F.lit("short"), with_no_body=False).alias("d")).first()
-    assert (r["a"], r["c"], r["d"]) == ("question", "story", "exposition")
+    assert (r["a"], r["c"], r["d"]) == ("question_discussion", "story_personal", "opinion_argument")
+
+
+def test_p_values(spark):
+    """Against the exact values: a normal tail, chi-square of one degree of freedom, and t with 8 and 98."""
+    r = spark.range(1).select(A.two_sided(F.lit(1.959963985)).alias("a"), A.two_sided(F.sqrt(F.lit(5.4))).alias("b"), A.correlation_p(F.lit(0.6), F.lit(10.0)).alias("c"), A.correlation_p(F.lit(0.25), F.lit(100.0)).alias("d"), A.correlation_p(F.lit(0.9), F.lit(2.0)).alias("e")).first()
+    assert abs(r["a"] - 0.05) < 1e-6 and abs(r["b"] - 0.0201368) < 1e-6 and abs(r["c"] - 0.0667) < 5e-4 and abs(r["d"] - 0.01213) < 2e-4 and r["e"] == 1.0
+
+
+def test_title_scores_and_tokens(spark):
+    rows = [("Eight words that are just enough for this", 90), ("a b", 30), ("You won't believe this!!", 45), ("", 30)]
+    df = spark.createDataFrame(rows, "t string, want long").withColumn("got", T.title_score(F.col("t"), F.lit(8), F.lit(22)))
+    assert [tuple(r) for r in df.where("got <> want").collect()] == []
+    r = spark.range(1).select(T.tokens(F.lit("Red fox, red hat")).alias("t"), T.request_words(F.lit("The best \u4f60\u597d tool and tool")).alias("w"), T.flair(F.lit("a setup walkthrough")).alias("f"), T.engaging(F.lit("It works. Thoughts")).alias("e")).first()
+    assert r["t"] == ["fox", "foxred", "hat", "red", "redfox", "redhat"] and r["w"] == ["\u4f60\u597d", "best", "tool", "tool"] and r["f"] == "Guide" and r["e"]
+
+
+def test_readability_of_empty(spark):
+    r = spark.range(1).select(T.readability(F.lit("")).alias("a"), T.readability(F.lit("The cat sat. It ate.")).alias("b"), T.paragraphs(F.lit("a\n\nb\n\n\n\nc")).alias("p")).first()
+    assert tuple(r["a"]) == (0.0, 0.0) and r["b"]["ease"] == 100.0 and r["b"]["grade"] == 0.0 and r["p"] == 4
+
+
+def test_pattern_selection(spark):
+    patterns = spark.createDataFrame([("p0", "t1", "story_opener", 0.5, None, 120), ("p1", "t1", "story_opener", 0.9, 0.1, 20), ("p2", "t2", "tutorial_howto", 0.2, None, 40)], "pattern_id string, tier string, hook string, rate double, live double, n long")
+    requests = spark.createDataFrame([("r", "t1", ["guide"]), ("q", "t2", [])], "request_id string, tier string, words array<string>")
+    out = {(r["request_id"], r["rank"]): (r["pattern_id"], r["score"]) for r in R.select_patterns(requests, patterns, 2).collect()}
+    assert out == {("r", 1): ("p0", 75.0), ("r", 2): ("p2", 34.0), ("q", 1): ("p2", 56.0), ("q", 2): ("p0", 45.0)}
+    assert [r["pattern_id"] for r in R.generic_patterns(patterns, 2).collect()] == ["p1", "p0"]
+
+
+def test_threshold_choice(spark):
+    rows = [(0.9, True), (0.8, True), (0.7, False), (0.2, False), (0.1, True)]
+    swept = V.sweep(spark.createDataFrame(rows, "probability double, label boolean"), [0.15, 0.5, 0.75])
+    got = {r["cutoff"]: (r["tp"], r["fp"], r["fn"]) for r in swept.collect()}
+    assert got == {0.15: (2, 2, 1), 0.5: (2, 1, 1), 0.75: (2, 0, 1)}
+    assert V.calibrated(swept, 0.6, 0.6).first()["cutoff"] == 0.75 and V.calibrated(swept, 0.9, 0.9).first()["pass"] == 2 and V.calibrated(swept.where("cutoff < 0.7"), 0.9, 0.9).first()["pass"] == 3
+
+
+def test_boosted_model_and_guard(spark):
+    posts = S.posts(spark, "/root/testdata/sf0.01")
+    scored = V.boosted(posts, "2024-01-15", trees=3, depth=3)
+    out = scored.agg(F.min("probability").alias("a"), F.max("probability").alias("b"), F.count("*").alias("n")).first()
+    assert out["n"] > 100 and 0 <= out["a"] < out["b"] <= 1
+    assert V.boosted(posts.limit(50), "2024-01-15").count() == 0
 
 
 def test_streaks(spark):

@@ -130,7 +130,7 @@ def target_encoding(df: DataFrame, percentile: float = 0.75) -> DataFrame:
 
 
 def random_split(df: DataFrame, seed: int = 42) -> DataFrame:
-    """60/40 within each community by hash rank, at least one row in train."""
+    """60/40 within each community by the rank of a hash, at least one row in train."""
     w = W.partitionBy("subreddit")
-    r = F.row_number().over(w.orderBy(F.xxhash64("post_id", F.lit(seed)), "post_id"))
+    r = F.row_number().over(w.orderBy(F.md5(F.concat_ws("-", "post_id", F.lit(seed)).cast("binary")), "post_id"))
     return df.withColumn("split", F.when(r <= F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(w) * 3 / 5)), "train").otherwise("test"))

@@ -28,18 +28,32 @@ def _add_f(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None
     ORACLES[name] = f"WITH {S.FEEDBACK_SQL}, {sql.lstrip()[5:]}" if sql.lstrip().startswith("WITH ") else f"WITH {S.FEEDBACK_SQL} {sql}"
 
 
+def _q(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
 def _hits(column: str, words) -> str:
-    return "(" + " + ".join(f"contains(lower({column}), '{w}')::INT" for w in words) + ")"
+    return "(" + " + ".join(f"contains(lower({column}), {_q(w)})::INT" for w in words) + ")"
 
 
-def _hook(column: str) -> str:
-    scores = {k: _hits(column, v) for k, v in T.HOOKS.items()}
-    top = "greatest(" + ", ".join(scores.values()) + ")"
-    cases = " ".join(f"WHEN {top} > 0 AND {s} = {top} THEN '{k}'" for k, s in scores.items())
-    return f"CASE WHEN contains({column}, '?') THEN 'question' WHEN starts_with({column}, '[') THEN 'tagged' {cases} WHEN regexp_matches({column}, '[0-9]') THEN 'number' WHEN starts_with({column}, 'I ') THEN 'story' ELSE 'statement' END"
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), {_q(w)})" for w in words) + ")"
 
 
-_NARRATIVE = r"CASE WHEN length(body) < 20 THEN 'no_body' WHEN ends_with(rtrim(body), '?') THEN 'question' WHEN (length(body) > 200 AND contains(lower(body), ' my ')) OR starts_with(body, 'I ') THEN 'story' WHEN regexp_matches(body, '(?m)^(-|[0-9]\.) ') THEN 'list' ELSE 'exposition' END"
+def _hook(column: str) -> str:
+    scores = "[" + ", ".join(_hits(column, v) for v in T.HOOKS.values()) + "]"
+    names = "[" + ", ".join(map(_q, T.HOOKS)) + "]"
+    cases = f"WHEN list_max({scores}) > 0 THEN {names}[list_position({scores}, list_max({scores}))]"
+    number = f"regexp_matches({column}, '[0-9]')"
+    first = f"contains({column}, '?') AND NOT {number} THEN 'curious_question' WHEN {_any(column, (' vs ', ' versus '))} THEN 'comparison_analysis' WHEN contains(substring(lower({column}), 1, 30), 'how to') THEN 'tutorial_howto'"
+    story = rf"regexp_matches(lower({column}), '(^|[^\p{{L}}\p{{N}}_])i($|[^\p{{L}}\p{{N}}_])') AND length({column}) > 50"
+    return f"CASE WHEN {first} {cases} WHEN {number} THEN 'number_shock' WHEN {story} THEN 'story_opener' ELSE 'curious_question' END"
+
+
+_NARRATIVE = (
+    f"CASE WHEN length(body) < 20 THEN 'no_body' WHEN {_any('body', T.TUTORIAL)} THEN 'tutorial_howto' WHEN {_any('body', T.OPINION)} THEN 'opinion_argument' WHEN {_any('body', T.SHOWCASE)} THEN 'resource_showcase' "
+    f"WHEN ends_with(rtrim(body), '?') OR contains(lower(body), 'anyone else') THEN 'question_discussion' WHEN {_any('body', T.PERSONAL)} AND length(body) > 200 THEN 'story_personal' ELSE 'opinion_argument' END"
+)
 _NW = "len(regexp_extract_all({0}, '[^\\s]+'))"
 _TW, _BW = _NW.format("title"), _NW.format("body")
 _P, _N = _hits("title", T.POSITIVE), _hits("title", T.NEGATIVE)
@@ -88,7 +102,7 @@ k AS (SELECT *, row_number() OVER w AS i, sum(u) OVER (PARTITION BY tier ORDER B
 b AS (SELECT a.tier, a.i, a.m, z.m AS hi, z.c - (a.c - a.u) AS s FROM k a JOIN k z ON a.tier = z.tier AND z.i = a.i + greatest(5, a.n // 5) - 1 WHERE a.i <= a.n - greatest(5, a.n // 5)),
 t AS (SELECT * FROM b WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY tier ORDER BY s DESC, i) = 1)
 SELECT tier, m AS low, hi AS high FROM t""")
-_add("a14_keywords_by_community", lambda p: A.keywords(p, "title", ("the", "and", "les", "der", "die"), 3, 20, ["subreddit"]), "WITH w AS (SELECT subreddit, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS word FROM posts), k AS (SELECT subreddit, word, count(*) AS n FROM w WHERE word NOT IN ('the', 'and', 'les', 'der', 'die') GROUP BY ALL HAVING count(*) >= 3) SELECT subreddit, word, n, row_number() OVER (PARTITION BY subreddit ORDER BY n DESC, word)::INT AS rank FROM k QUALIFY rank <= 20")
+_add("a14_keywords_by_community", lambda p: A.keywords(p, "title", T.STOP_WORDS, 3, 20, ["subreddit"]), "WITH w AS (SELECT subreddit, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS word FROM posts), k AS (SELECT subreddit, word, count(*) AS n FROM w WHERE word NOT IN (" + ", ".join(map(_q, T.STOP_WORDS)) + ") GROUP BY ALL HAVING count(*) >= 3) SELECT subreddit, word, n, row_number() OVER (PARTITION BY subreddit ORDER BY n DESC, word)::INT AS rank FROM k QUALIFY rank <= 20")
 
 # ---------------------------------------------------------------- titles and bodies
 _FLAGS = {"colon": "contains(title, ':')", "dash": "contains(title, '-')", "comma": "contains(title, ',')", "number": "regexp_matches(title, '[0-9]')", "question": "contains(title, '?')"}
@@ -148,7 +162,7 @@ _add("a43_patterns", lambda p: M.over_represented(M.features(p)), f"WITH {_FEAT}
 _add("a47_anti_patterns", lambda p: M.anti_patterns(M.features(p)), f"WITH {_FEAT}, m AS (SELECT quantile_cont(upvotes, 0.9) AS t, median(upvotes)::DOUBLE AS md FROM f) SELECT CASE WHEN title_words < 5 THEN 'short_title' WHEN title_words > 20 THEN 'long_title' WHEN body_words < 20 THEN 'thin_body' WHEN body_words > 400 THEN 'wall_of_text' ELSE 'other' END AS bucket, count(*) AS n, (count(*) FILTER (upvotes < md))::DOUBLE / count(*) AS failure_rate FROM f, m WHERE upvotes < t GROUP BY 1 HAVING count(*) >= 10")
 _add("a49_target_encoding", lambda p: M.target_encoding(p), "WITH t AS (SELECT subreddit, quantile_cont(upvotes, 0.75) AS threshold FROM posts GROUP BY 1) SELECT subreddit, threshold, count(*) AS n, (count(*) FILTER (upvotes >= threshold))::DOUBLE / count(*) AS viral_rate FROM posts JOIN t USING (subreddit) GROUP BY subreddit, threshold")
 _add("c3_backtest", lambda p: M.backtest(p, "2024-01-15"), None)
-_add("w8_random_split", lambda p: M.random_split(p).select("post_id", "split"), None)
+_add("w8_random_split", lambda p: M.random_split(p).select("post_id", "split"), "SELECT post_id, CASE WHEN row_number() OVER (PARTITION BY subreddit ORDER BY md5(post_id || '-42'), post_id) <= greatest(1, floor(count(*) OVER (PARTITION BY subreddit) * 3 / 5)) THEN 'train' ELSE 'test' END AS split FROM posts")
 
 # ---------------------------------------------------------------- feedback
 _MED = "med AS (SELECT subreddit, median(actual_upvotes)::DOUBLE AS median FROM feedback WHERE actual_upvotes > 0 GROUP BY 1)"
