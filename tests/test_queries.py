@@ -12,7 +12,8 @@ from tractionlens.operators import feedback as B
 from tractionlens.operators import mining as M
 from tractionlens.operators import selection as R
 from tractionlens.operators import validation as V
-from tractionlens.plans import more, registry  # noqa: F401
+from tractionlens.functions import drafts as D
+from tractionlens.plans import checks, more, registry  # noqa: F401
 
 from tractionlens.sources import posts as S
 
@@ -155,3 +156,31 @@ def test_title_templates(spark):
 def test_backtest_counts_every_dated_post(spark):
     out = registry.QUERIES["c3_backtest"](spark, SF).collect()
     assert out and all(r["tp"] + r["fp"] + r["fn"] + r["tn"] > 0 for r in out)
+
+
+def test_answers_of_a_model(spark):
+    raw = [('{"a": 1}', 1), ('see\n```json\n{"a": 2}\n```\nor {', 2), ('so {"a": 3} then', 3), ("none {", None), ("", None), (None, None)]
+    df = spark.createDataFrame(raw, "raw string, want int")
+    assert [r["x"] for r in df.select(F.get_json_object(D.json_text(F.col("raw")), "$.a").cast("int").alias("x")).collect()] == [w for _, w in raw]
+    text = "Labels\n1: Story.\n 2) a-question!\n3. other\nno label\n4: "
+    got = spark.range(1).select(D.numbered_labels(F.lit(text), ["story", "question"]).alias("x")).first()["x"]
+    assert got == ["story", "question", "story"]
+
+
+def test_draft_and_failure_reasons(spark):
+    rows = [("one two", "", 0.9, None), ("a b c d e f", "w " * 30, 0.4, 10), ("a b c d e f", "w " * 30, 0.8, 50), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "title string, body string, ratio double, rate int")
+    got = df.select(D.attribution(*[F.col(x) for x in ("title", "body", "ratio", "rate")]).alias("k")).select("k.*").collect()
+    assert [r["primary"] for r in got] == ["title", "quality", None, "title"]
+    assert got[1]["secondary"] == ["pattern"] and len(got[1]["actions"]) == 2 and got[2]["actions"] == ["take another pattern or community"]
+    drafts = df.select(D.draft_check(F.col("title"), F.col("body"), F.lit("pain_point"), F.lit(5), F.lit(8), F.lit(20), F.lit(40)).alias("k")).select("k.*").collect()
+    assert [r["passed"] for r in drafts] == [False, True, True, False]
+    assert drafts[0]["suggestions"] == ["title length", "short title", "no body"] and drafts[1]["body_length"] == 100
+
+
+def test_a_model_needs_enough_rows(spark):
+    from tractionlens.operators import validation as V
+    from tractionlens.sources import posts as S
+
+    few = S.posts(spark, "/root/testdata/sf0.001").limit(20)
+    assert V.importances(few, "2024-01-15").count() == 0 and V.boosted(few, "2024-01-15").count() == 0

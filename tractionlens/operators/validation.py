@@ -119,9 +119,9 @@ def calibrated(swept: DataFrame, least_precision: float = 0.3, least_recall: flo
     return swept.withColumns({"pass": pass_, "_k": key}).orderBy("pass", F.desc("_k"), "cutoff").limit(1).drop("_k")
 
 
-def boosted(df: DataFrame, split_at: str, percentile: float = 0.75, trees: int = 10, depth: int = 4, least_rows: int = 100, least_class: int = 20) -> DataFrame:
-    """A gradient-boosted model of the posts before `split_at`, on the later ones: (probability, label). Too few rows of a
-    side or class: no rows."""
+def fitted(df: DataFrame, split_at: str, percentile: float = 0.75, trees: int = 10, depth: int = 4, least_rows: int = 100, least_class: int = 20):
+    """A gradient-boosted model of the posts before `split_at` and the later posts as vectors. Too few rows of a side or class:
+    no model."""
     dated = df.where("created_utc IS NOT NULL")
     at = F.lit(split_at).cast("timestamp")
     encoding = M.target_encoding(dated.where(F.col("created_utc") < at), percentile)
@@ -129,6 +129,23 @@ def boosted(df: DataFrame, split_at: str, percentile: float = 0.75, trees: int =
     train, test = rows.where(F.col("created_utc") < at), rows.where(F.col("created_utc") >= at)
     n = train.agg(F.count("*").alias("n"), F.sum("label").alias("k")).crossJoin(test.agg(F.count("*").alias("m"))).first()
     if n["n"] < least_rows or n["m"] < least_rows or not least_class <= (n["k"] or 0) <= n["n"] - least_class:
+        return None, test
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, subsamplingRate=1.0).fit(train), test
+
+
+def boosted(df: DataFrame, split_at: str, **settings) -> DataFrame:
+    """(probability, label) of the later posts by fitted(); no model, no rows."""
+    model, test = fitted(df, split_at, **settings)
+    if model is None:
         return df.sparkSession.createDataFrame([], "probability double, label boolean")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, subsamplingRate=1.0).fit(train)
     return model.transform(test).select(vector_to_array("probability")[1].alias("probability"), (F.col("label") == 1).alias("label"))
+
+
+def importances(df: DataFrame, split_at: str, top: int = 15, least: float = 0.01, **settings) -> DataFrame:
+    """The model's most important features over `least`, and whether each is at the median of all or above, which is the test
+    for keeping it. One row for each of at most `top` features."""
+    model, _ = fitted(df, split_at, **settings)
+    value = [float(x) for x in model.featureImportances.toArray()] if model else []
+    middle = sorted(value)[len(value) // 2] if value else 0.0
+    rows = sorted(((x, k, x >= middle) for k, x in zip(NUMBERS, value) if x > least), key=lambda r: (-r[0], r[1]))[:top]
+    return df.sparkSession.createDataFrame(rows, "importance double, feature string, selected boolean")

@@ -153,12 +153,14 @@ def _viral(p):
 
 
 _MSTOP = ", ".join(map(_q, M.STOP))
-_add("a45_title_templates", lambda p: M.templates(_viral(p), _KEYS.split(", ")), rf"""WITH {_FEAT}, {_TH.format(0.8)}, v AS (SELECT * FROM f, th WHERE upvotes >= threshold AND title <> ''),
+#: CTEs from f and th to tpl: the title template of each cluster of viral posts.
+_TPL = rf"""v AS (SELECT * FROM f, th WHERE upvotes >= threshold AND title <> ''),
 w AS (SELECT {_KEYS}, list_filter(list_transform(string_split(trim(regexp_replace(title, '\s+', ' ', 'g')), ' '), lambda x: trim(lower(x), '.,!?:;"''()[]')), lambda x: x NOT IN ({_MSTOP}) AND length(x) > 2) AS w FROM v),
 e AS (SELECT {_KEYS}, count(*) AS titles FROM w GROUP BY ALL HAVING count(*) >= 3), g AS (SELECT {_KEYS}, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w),
 k AS (SELECT {_KEYS}, gram, count(*) AS k FROM g GROUP BY ALL), r AS (SELECT k.*, titles, row_number() OVER (PARTITION BY {", ".join("k." + x for x in _KEYS.split(", "))} ORDER BY k DESC, gram) AS r FROM k JOIN e USING ({_KEYS})),
-u AS (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY r) AS q FROM r WHERE r <= 10 AND k >= greatest(2, floor(titles * 0.15)))
-SELECT {_KEYS}, string_agg(gram, '|' ORDER BY r) AS template FROM u WHERE q <= 5 GROUP BY ALL""")
+u AS (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY r) AS q FROM r WHERE r <= 10 AND k >= greatest(2, floor(titles * 0.15))),
+tpl AS (SELECT {_KEYS}, string_agg(gram, '|' ORDER BY r) AS template FROM u WHERE q <= 5 GROUP BY ALL)"""
+_add("a45_title_templates", lambda p: M.templates(_viral(p), _KEYS.split(", ")), f"WITH {_FEAT}, {_TH.format(0.8)}, {_TPL} SELECT {_KEYS}, template FROM tpl")
 _BY_TIER = f"""{_FEAT}, th AS (SELECT tier, quantile_cont(upvotes, 0.8) AS threshold FROM f GROUP BY 1), g AS (SELECT tier, hook, narrative, content_type, count(*) FILTER (upvotes >= threshold) AS viral, count(*) AS n FROM f JOIN th USING (tier) GROUP BY ALL),
 w AS (SELECT *, (sum(viral) OVER t)::BIGINT AS av, (sum(n) OVER t)::BIGINT AS an FROM g WINDOW t AS (PARTITION BY tier)),
 x AS (SELECT *, viral::DOUBLE AS a, (n - viral)::DOUBLE AS b, (av - viral)::DOUBLE AS c, (an - n - av + viral)::DOUBLE AS d FROM w WHERE n >= 10 AND viral >= 5),
