@@ -477,3 +477,20 @@ def test_long_url_and_message(spark):
     assert url_filter(spark.createDataFrame([(1, url)], "page_id long, url string")).first()["host"] == "a" * 100_000
     out = link_tool_calls(spark.createDataFrame([(1, 0, "user", "x" * 2_000_000)], "conv_id long, turn long, role string, text string")).first()
     assert len(out["json"]) > 2_000_000
+
+
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_words_that_share_prefixes_score_as_alone(scale):
+    from tractionlens.llm import lm_scoring as L
+
+    rng = np.random.default_rng(4)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in L.started(np.ones(30), 12, 8, 6, 3).p.items()}
+    p["u"] = p["u"] * np.float32(scale)
+    words = [rng.integers(2, 5, n) for n in [0, 0, 1, 1, 2, 2, 3, 3, 3, 4, 5, 5, 5] * 3]
+    words += [words[-1]] * 2  # repeated rows
+    got = L._log10(p, np.concatenate(words), np.array([len(w) for w in words]), 6, tokens=16)
+    for value, w in zip(got, words):
+        z = L._forward(p, np.concatenate([[L.START], w]).astype(np.int64)[None])[0].astype(float)
+        z -= z.max(1, keepdims=True)
+        want = (z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(len(w) + 1), np.concatenate([w, [L.END]]).astype(int)].sum() / np.log(10)
+        assert abs(value - want) < 1e-4 * max(1, abs(want))
