@@ -184,3 +184,11 @@ def test_a_model_needs_enough_rows(spark):
 
     few = S.posts(spark, "/root/testdata/sf0.001").limit(20)
     assert V.importances(few, "2024-01-15").count() == 0 and V.boosted(few, "2024-01-15").count() == 0
+
+
+def test_valence(spark):
+    posts = spark.createDataFrame([("a", "good good day"), ("b", "nothing"), ("c", None), ("d", "bad Good")], "post_id string, title string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "word string, valence double")
+    got = {r["post_id"]: round(r["compound"], 6) for r in V.valence_scores(posts, lexicon).collect()}
+    assert got == {"a": round(4 / 31**0.5, 6), "b": 0, "c": 0, "d": 0}
+    assert set(V.valence_scores(posts, lexicon.limit(0)).select("compound").distinct().collect()) == {(0.0,)}

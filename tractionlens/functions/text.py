@@ -213,6 +213,11 @@ def engaging(body: Column) -> Column:
     return F.contains(last, F.lit("?")) | has_any(F.lower(last), ENGAGING)
 
 
+def letter_words(text: Column) -> Column:
+    """The lower-cased words of three letters on, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))
+
+
 def tokens(text: Column) -> Column:
     """The distinct lower-cased words of three letters on, and adjacent pairs of them joined, in order of the alphabet."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))

@@ -99,6 +99,20 @@ def ml_features(df: DataFrame, encoding: DataFrame) -> DataFrame:
     return d.select("post_id", "created_utc", *[v.alias(k) for k, v in numbers.items()], label.alias("label"))
 
 
+def valence_lexicon(df: DataFrame, least: int = 20) -> DataFrame:
+    """(word, valence) of title words in `least` titles or more: how far their mean score lies from that of all, in tenths."""
+    words = df.select("post_id", "upvotes", F.explode(T.letter_words(F.col("title"))).alias("word")).distinct()
+    g = words.groupBy("word").agg(F.count("*").alias("n"), F.avg("upvotes").alias("m")).where(F.col("n") >= least)
+    return g.crossJoin(F.broadcast(df.agg(F.avg("upvotes").alias("_all")))).select("word", F.round(F.col("m") / F.col("_all") - 1, 1).alias("valence"))
+
+
+def valence_scores(df: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(post_id, compound): the valences of a title's words, summed to s and scaled to s / sqrt(s * s + 15); 0 without a hit."""
+    words = df.select("post_id", F.explode(T.letter_words(F.col("title"))).alias("word"))
+    s = words.join(lexicon, "word").groupBy("post_id").agg(F.sum("valence").alias("_s"))
+    return df.select("post_id").join(s, "post_id", "left").select("post_id", F.coalesce(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + 15), F.lit(0.0)).alias("compound"))
+
+
 def sweep(scored: DataFrame, grid: list[float], by: list[str] | None = None) -> DataFrame:
     """Confusion at each threshold of `grid` for rows (probability, label): rows are counted by probability first."""
     counts = scored.groupBy("probability").agg(F.count_if("label").alias("yes"), F.count_if(~F.col("label")).alias("no"))

@@ -104,3 +104,7 @@ ORACLES["a60_transfer_matrix"] = f"WITH {S.POSTS_SQL} {_MOVED}"
 
 # ---------------------------------------------------------------- models
 _add("l7_feature_importance", lambda p: V.importances(p, "2024-01-15"), None)
+_add("m3_valence", lambda p: V.valence_scores(p, V.valence_lexicon(p)).withColumn("compound", F.round("compound", 9) + 0.0), """WITH w AS (SELECT post_id, upvotes, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS word FROM posts),
+lx AS (SELECT word, round(avg(upvotes) / (SELECT avg(upvotes) FROM posts) - 1, 1) AS valence FROM (SELECT DISTINCT post_id, upvotes, word FROM w) GROUP BY word HAVING count(*) >= 20),
+s AS (SELECT post_id, sum(valence) AS s FROM w JOIN lx USING (word) GROUP BY post_id)
+SELECT post_id, round(coalesce(s / sqrt(s * s + 15), 0.0::DOUBLE), 9) + 0.0 AS compound FROM posts LEFT JOIN s USING (post_id)""")
