@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tractionlens.llm import chat_format, decontamination, language_id, lm_scoring, merkle_manifest, near_dedup, packing, quality_rules, substring_dedup, toxicity, url_filters
+from tractionlens.llm import chat_format, decontamination, language_id, license_scan, lm_scoring, merkle_manifest, near_dedup, packing, quality_rules, source_divergence, substring_dedup, toxicity, url_filters
 
-_MODULES = (decontamination, toxicity, quality_rules, packing, lm_scoring, language_id, url_filters, chat_format, near_dedup, substring_dedup, merkle_manifest)
+_MODULES = (decontamination, toxicity, quality_rules, packing, lm_scoring, language_id, url_filters, chat_format, near_dedup, substring_dedup, license_scan, merkle_manifest, source_divergence)
 
 
 def queries() -> dict:

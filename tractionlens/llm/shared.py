@@ -116,9 +116,10 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
         first = end
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each text the number of words before it (one more entry than texts)."""
-    inside = ~_SPACE[buf]
+def word_spans(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each text the number of words before it (one more entry than texts). `gap` has
+    the bytes that lie between words."""
+    inside = ~gap[buf]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
