@@ -71,7 +71,9 @@ def gamma_tail(a: float, x: float) -> float:
 
 
 def t_tails(t: float, dof: float) -> float:
-    """P(|T| >= |t|) of Student's t."""
+    """P(|T| >= |t|) of Student's t; from a million degrees of freedom on by the normal distribution of a transform of t."""
+    if dof > 1e6:
+        return math.erfc(abs(t) * (1 - 0.25 / dof) / math.sqrt(1 + t * t / (2 * dof)) / math.sqrt(2))
     return beta_share(dof / 2, 0.5, dof / (dof + t * t), t * t / (dof + t * t))
 
 
@@ -107,7 +109,7 @@ def _each(function, *columns: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([float(function(*row)) if not any(pd.isna(row)) else None for row in zip(*(frame[c] for c in frame))], dtype="float64")
+        return pd.Series([float(function(*row)) if not any(x != x for x in row) else None for row in zip(*(frame[c] for c in frame))], dtype="float64")
 
     return run(F.struct(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
 

@@ -21,11 +21,14 @@ HOOKS: dict[str, tuple[str, ...]] = {
 }
 POSITIVE = ("good", "great", "best", "amazing", "love", "awesome", "beautiful", "perfect", "thank", "win", "success", "happy", "wow", "incredible", "fantastic", "finally")
 NEGATIVE = ("bad", "worst", "hate", "terrible", "awful", "sucks", "horrible", "fail", "death", "never", "wrong", "ugly", "boring", "disappointed", "frustrated", "problem")
-STOP_WORDS = tuple(
-    "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as "
-    "into through during before after above below between and but or nor not so yet both either neither each every all any few more most other some "
-    "such no only own same than too very just about also if then else this that these those it its i me my we our you your he she they him his her "
-    "them what which who whom when where why how am don didn doesn isn aren wasn weren haven hasn hadn won wouldn couldn".split()
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither", "each", "every", "all", "any",
+    "few", "more", "most", "other", "some", "such", "no", "only", "own", "same", "than", "too", "very", "just", "about", "also", "if", "then", "else",
+    "this", "that", "these", "those", "it", "its", "i", "me", "my", "we", "our", "you", "your", "he", "she", "they", "him", "his", "her", "them",
+    "what", "which", "who", "whom", "when", "where", "why", "how", "am", "don", "didn", "doesn", "isn", "aren", "wasn", "weren", "haven", "hasn",
+    "hadn", "won", "wouldn", "couldn",
 )
 #: Narrative modes of a body by keywords, in the order of the rules; and what a personal story holds.
 TUTORIAL = ("step 1", "how to", "tutorial", "guide", "here's how")
@@ -66,11 +69,22 @@ FLAIRS: dict[str, tuple[str, ...]] = {
     "Discussion": ("discuss", "think", "opinion", "thought"),
     "Question": ("question", "anyone", "help", "how do", "why"),
 }
+#: What calls the reader to answer.
+CALLS = ("let me know", "what do you think", "share your", "would love to hear", "comments below", "thoughts?", "agree?", "discuss")
+#: Words that tie a title to the present.
+TIME_WORDS = ("today", "just", "finally", "now", "yesterday", "tonight", "this week", "this month", "this year", "breaking", "update", "latest", "new")
 ENGAGING = ("thoughts", "feedback", "experience", "let me know", "would love")
 MEDIA_ALIASES = {"text": "text", "self": "text", "image": "image", "img": "image", "photo": "image", "video": "video", "gif": "video", "link": "link", "url": "link", "poll": "poll"}
 # End of the fixed values.
 
 
+WHITE = " \t\n\r\f\v"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\s]+")).cast("long")
 
@@ -213,6 +227,11 @@ def engaging(body: Column) -> Column:
     return F.contains(last, F.lit("?")) | has_any(F.lower(last), ENGAGING)
 
 
+def calls_to_answer(body: Column) -> Column:
+    """Whether a body ends with a question or calls for an answer anywhere."""
+    return F.endswith(stripped(body), F.lit("?")) | has_any(F.lower(body), CALLS)
+
+
 def letter_words(text: Column) -> Column:
     """The lower-cased words of three letters on, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))

@@ -49,19 +49,19 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 
 def inflections(hist: DataFrame, bins: int = 20) -> DataFrame:
-    """Bins where the second difference of the counts changes its sign."""
+    """Bins where the second difference of the counts changes its sign: the bin before the one whose count shows it."""
     w = W.orderBy("bin")
     full = hist.sparkSession.range(bins).select(F.col("id").alias("bin")).join(F.broadcast(hist), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
     d = full.select("bin", (F.col("n") - 2 * F.lag("n").over(w) + F.lag("n", 2).over(w)).alias("d"))
     d = d.select("bin", F.signum(F.col("d").cast("double")).alias("s"), F.signum(F.lag("d").over(w).cast("double")).alias("p"))
-    return d.where("s <> 0 AND p <> 0 AND s <> p").select("bin")
+    return d.where("s <> 0 AND p <> 0 AND s <> p").select((F.col("bin") - 1).alias("bin"))
 
 
 def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     v = F.col(value)
-    p = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)]))
+    p = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)]))
     out = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), deviation(F.count("*"), F.sum(v), F.sum(v * v)).alias("std"), p.alias("p"))
-    return out.select(*by, "n", "mean", "std", *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((10, 25, 50, 75, 90, 99))])
+    return out.select(*by, "n", "mean", "std", *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((10, 25, 50, 75, 90, 95, 99))])
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 10, weight: str | None = None) -> DataFrame:
@@ -157,15 +157,27 @@ def rates(df: DataFrame, flags: dict[str, Column], by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[(_d(F.count_if(c)) / _d(F.count("*"))).alias(k) for k, c in flags.items()])
 
 
-
 def title_flags() -> dict[str, Column]:
-    t = F.col("title")
-    return {"colon": F.contains(t, F.lit(":")), "dash": F.contains(t, F.lit("-")), "comma": F.contains(t, F.lit(",")), "number": t.rlike("[0-9]"), "question": F.contains(t, F.lit("?"))}
+    t, has = F.col("title"), lambda x: F.contains(F.col("title"), F.lit(x))
+    return {"colon": has(":"), "dash": has("\u2014") | has(" - "), "parenthesis": has("("), "number": t.rlike(r"\p{Nd}"), "question": F.endswith(T.stripped(t), F.lit("?"))}
+
+
+def template_flags() -> dict[str, Column]:
+    """The slots of a structure template, in order; a question is told by the very last character."""
+    t, has = F.col("title"), lambda x: F.contains(F.col("title"), F.lit(x))
+    return {"colon": has(":"), "dash": has("\u2014") | has(" - "), "question": F.endswith(t, F.lit("?")), "number": t.rlike(r"\p{Nd}"), "bracket": has("[") | has("(")}
 
 
 def body_flags() -> dict[str, Column]:
     b = F.col("body")
-    return {"list": b.rlike(r"(?m)^(-|[0-9]\.) "), "tldr": F.contains(F.lower(b), F.lit("tl;dr")), "bold": F.contains(b, F.lit("**")), "quote": b.rlike("(?m)^>"), "ending_question": F.endswith(b, F.lit("?")), "line_break": F.contains(b, F.lit("\n"))}
+    return {
+        "list": b.rlike(r"(?md)^[-*0-9+.][ \t\n\r\f\x0B]"),
+        "tldr": b.rlike(r"(?i)\bTL[;:]?DR\b"),
+        "bold": F.contains(b, F.lit("**")),
+        "quote": F.startswith(b, F.lit(">")) | F.contains(b, F.lit("\n>")),
+        "ending_question": F.endswith(T.stripped(b), F.lit("?")),
+        "call_to_action": T.has_any(F.lower(b), T.CALLS),
+    }
 
 
 def class_stats(df: DataFrame, label: Column, name: str, by: list[str]) -> DataFrame:
@@ -176,10 +188,9 @@ def class_stats(df: DataFrame, label: Column, name: str, by: list[str]) -> DataF
 
 
 def templates(df: DataFrame, top: int = 10, least: int = 5) -> DataFrame:
-    """Combinations of title flags: the `top` most frequent, then those with `least` titles."""
-    flags = title_flags()
-    key = F.concat_ws("|", *[F.when(c, k) for k, c in flags.items()])
-    g = df.select(key.alias("template"), "upvotes").groupBy("template").agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"))
+    """Combinations of a title's slots, absent ones empty: the `top` most frequent, then those with `least` titles."""
+    key = F.concat_ws("|", *[F.when(c, k).otherwise("") for k, c in template_flags().items()])
+    g = df.where("title <> ''").select(key.alias("template"), "upvotes").groupBy("template").agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"))
     return g.orderBy(F.desc("n"), "template").limit(top).where(F.col("n") >= least)
 
 
@@ -199,16 +210,26 @@ def cutoff(df: DataFrame, zero_based: bool) -> DataFrame:
 
 
 def slot_stats(df: DataFrame, slot: Column, slots: DataFrame, name: str) -> DataFrame:
-    """Every slot, with count, average and share of posts at or above the top-decile score."""
-    cut = cutoff(df, False)
-    g = df.where("created_utc IS NOT NULL").crossJoin(F.broadcast(cut)).groupBy(slot.alias(name)).agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"), F.count_if(F.col("upvotes") >= F.col("cutoff")).alias("tops"))
+    """Every slot, with count, average and share of posts at or above the top-decile score of the posts with a time."""
+    dated = df.where("created_utc IS NOT NULL")
+    cut = cutoff(dated, False)
+    g = dated.crossJoin(F.broadcast(cut)).groupBy(slot.alias(name)).agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"), F.count_if(F.col("upvotes") >= F.col("cutoff")).alias("tops"))
     return slots.join(F.broadcast(g), name, "left").select(name, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("avg_upvotes", F.lit(0.0)).alias("avg_upvotes"), F.coalesce(_d("tops") / _d("n"), F.lit(0.0)).alias("top_share"))
 
 
 def time_matrix(df: DataFrame) -> DataFrame:
-    whole = df.agg(F.greatest(F.median("upvotes"), F.lit(1.0)).alias("g"))
-    dated = df.where("created_utc IS NOT NULL").groupBy(F.weekday("created_utc").cast("long").alias("day"), F.hour("created_utc").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"), F.median("upvotes").alias("median"))
-    return dated.crossJoin(F.broadcast(whole)).select("day", "hour", "n", "avg_upvotes", "median", (F.col("median") / F.col("g")).alias("lift"))
+    """Per slot such as Mon_07: count, average, median, and the median against that of all posts with a time (at least 1)."""
+    dated = df.where("created_utc IS NOT NULL")
+    whole = dated.agg(F.greatest(F.median("upvotes"), F.lit(1.0)).alias("g"))
+    slots = dated.groupBy(F.date_format("created_utc", "E_HH").alias("slot")).agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"), F.median("upvotes").alias("median"))
+    return slots.crossJoin(F.broadcast(whole)).select("slot", "n", "avg_upvotes", "median", (F.col("median") / F.col("g")).alias("lift"))
+
+
+def flairs(df: DataFrame) -> DataFrame:
+    """Per flair (lower-cased; an empty one is none) the statistics of its posts, and the share of all posts that have one."""
+    some = F.coalesce(F.col("flair") != "", F.lit(False))
+    rate = df.agg((_d(F.count_if(some)) / _d(F.count("*"))).alias("flair_rate"))
+    return class_stats(df.where(some), F.lower("flair"), "flair", []).crossJoin(F.broadcast(rate))
 
 
 def preferences(df: DataFrame) -> DataFrame:
@@ -219,10 +240,11 @@ def preferences(df: DataFrame) -> DataFrame:
 
 
 def specificity(df: DataFrame, least: int = 20) -> DataFrame:
-    """Mean relative deviation of a community's medians from the global ones, at most 1."""
-    m = [F.median(T.n_words(F.col("title"))).alias("a"), F.median("upvotes").alias("b")]
-    whole = df.agg(*[x for x in m]).toDF("ga", "gb")
-    g = df.groupBy("subreddit").agg(F.count("*").alias("n"), *m).where(F.col("n") >= least).crossJoin(F.broadcast(whole))
+    """Mean relative deviation of a community's median title and body words from the global ones, at most 1. Empty titles and
+    bodies don't count; a median of none is 0."""
+    words = lambda c: F.coalesce(F.median(F.when(F.col(c) != "", T.n_words(F.col(c)))), F.lit(0.0))
+    whole = df.agg(words("title").alias("ga"), words("body").alias("gb"))
+    g = df.groupBy("subreddit").agg(F.count("*").alias("n"), words("title").alias("a"), words("body").alias("b")).where(F.col("n") >= least).crossJoin(F.broadcast(whole))
     rel = lambda x, y: F.abs(F.col(x) - F.col(y)) / F.greatest(F.col(y), F.lit(1.0))
     return g.select("subreddit", F.least((rel("a", "ga") + rel("b", "gb")) / 2, F.lit(1.0)).alias("score"))
 
@@ -232,30 +254,63 @@ def velocity(df: DataFrame, as_of: str) -> Column:
     return F.col("upvotes") / F.greatest(hours, F.lit(1.0))
 
 
+def velocity_profile(df: DataFrame, as_of: str) -> DataFrame:
+    """One row over the posts with a time: n, Pearson's r of velocity and score, and the 20th percentile of the velocity among
+    posts at or above the top-decile score."""
+    dated = df.where("created_utc IS NOT NULL").withColumn("v", velocity(df, as_of))
+    top = dated.crossJoin(F.broadcast(cutoff(dated, False))).agg(F.percentile(F.when(F.col("upvotes") >= F.col("cutoff"), F.col("v")), F.lit(0.2)).alias("threshold"))
+    r = dated.agg(F.count("*").alias("n"), F.corr("v", _d("upvotes")).alias("r")).select("n", F.when(F.col("n") < 10, 0.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("r"))
+    return r.crossJoin(top).select("n", "r", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+
+
+GROWTH = ("logarithmic", "exponential", "impulsive", "linear", "bimodal", "unknown")
+
+
 def growth_classes(df: DataFrame, as_of: str) -> DataFrame:
-    v = velocity(df, as_of)
-    ratio = F.col("num_comments") / F.greatest(F.col("upvotes"), F.lit(1))
-    label = F.when(v >= 10, "explosive").when(v >= 1, "fast").when(ratio >= 0.1, "discussion").when(v >= 0.1, "steady").when(F.col("upvotes") > 0, "slow").otherwise("flat")
-    names = df.sparkSession.createDataFrame([(x,) for x in ("explosive", "fast", "discussion", "steady", "slow", "flat")], "growth string")
-    g = df.where("created_utc IS NOT NULL").groupBy(label.alias("growth")).agg(F.count("*").alias("n"))
-    return names.join(F.broadcast(g), "growth", "left").select("growth", F.coalesce("n", F.lit(0)).alias("n"))
+    """Posts by growth class, all classes listed, with their share. Without a score above 0 or a time a post is unknown."""
+    u, ratio = F.col("upvotes"), F.col("num_comments") / F.greatest(F.col("upvotes"), F.lit(1))
+    label = F.when((u <= 0) | u.isNull() | F.col("created_utc").isNull(), "unknown").when(velocity(df, as_of) > 100, "exponential")
+    label = label.when((ratio > 1.5) & (u > 100), "impulsive").when((ratio > 0.5) & (u > 500), "bimodal").when((ratio > 0.05) & (ratio < 0.5), "linear").otherwise("logarithmic")
+    names = df.sparkSession.createDataFrame([(x,) for x in GROWTH], "growth string")
+    g = df.groupBy(label.alias("growth")).agg(F.count("*").alias("n"))
+    out = names.join(F.broadcast(g), "growth", "left").select("growth", F.coalesce("n", F.lit(0)).alias("n"))
+    total = out.agg(F.greatest(F.sum("n"), F.lit(1).cast("long")).alias("total"))
+    return out.crossJoin(F.broadcast(total)).select("growth", "n", (_d("n") / _d("total")).alias("share"))
 
 
 def controversy(df: DataFrame) -> DataFrame:
+    """One row on posts that few like and some discuss; means of none are 0."""
     c = df.where("upvote_ratio > 0 AND upvote_ratio < 0.75 AND num_comments > 0")
-    return c.agg(F.count("*").alias("n"), F.coalesce(F.avg("upvotes"), F.lit(0.0)).alias("avg_upvotes"), F.coalesce(F.avg("num_comments"), F.lit(0.0)).alias("avg_comments"))
+    measures = {
+        "avg_upvotes": F.avg("upvotes"),
+        "avg_comments": F.avg("num_comments"),
+        "median_upvote_ratio": F.median("upvote_ratio"),
+        "flair_usage": F.avg(F.coalesce(F.col("flair") != "", F.lit(False)).cast("double")),
+        "engagement_per_upvote": F.avg(F.col("num_comments") / F.greatest(F.col("upvotes"), F.lit(1))),
+    }
+    return c.agg(F.count("*").alias("n"), *[F.coalesce(m, F.lit(0.0)).alias(k) for k, m in measures.items()])
+
+
+def media_stats(df: DataFrame) -> DataFrame:
+    """Per media type: the statistics of its posts, and the share of them at or above the score at index n // 10 from the top."""
+    cut = cutoff(df, True)
+    top = df.crossJoin(F.broadcast(cut)).groupBy(F.col("content_type").alias("media")).agg((_d(F.count_if(F.col("upvotes") >= F.col("cutoff"))) / _d(F.count("*"))).alias("top_share"))
+    return class_stats(df, F.col("content_type"), "media", []).join(F.broadcast(top), "media")
 
 
 def dominant_media(df: DataFrame) -> DataFrame:
+    """Per community: its most frequent media type, that type's share, and posts by type."""
     g = df.groupBy("subreddit", "content_type").agg(F.count("*").alias("n"))
-    best = g.groupBy("subreddit").agg(F.max(F.struct("n", "content_type")).alias("b"), F.sum("n").alias("total"))
-    return best.select("subreddit", F.col("b.content_type").alias("dominant"), (_d("b.n") / _d("total")).alias("share"))
+    best = g.groupBy("subreddit").agg(F.max(F.struct("n", "content_type")).alias("b"), F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("content_type", "n")))).alias("distribution"))
+    return best.select("subreddit", F.col("b.content_type").alias("dominant"), (_d("b.n") / _d("total")).alias("share"), "distribution")
 
 
-def media_return(df: DataFrame) -> DataFrame:
-    text = df.agg(F.greatest(F.coalesce(F.avg(F.when(F.col("content_type") == "text", F.col("upvotes"))), F.lit(0.0)), F.lit(1.0)).alias("base"))
-    g = df.groupBy("content_type").agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"))
-    return g.crossJoin(F.broadcast(text)).select("content_type", "n", "avg_upvotes", (F.col("avg_upvotes") / F.col("base")).alias("boost"))
+def media_return(df: DataFrame, base: str = "text", others: tuple[str, ...] = ("image", "video")) -> DataFrame:
+    """Text against other media: averages of each, and for the others the average score against that of `base` (at least 1)."""
+    text = df.agg(F.greatest(F.avg(F.when(F.col("content_type") == base, F.col("upvotes"))), F.lit(1.0)).alias("base"), F.count_if(F.col("content_type") == base).alias("k"))
+    g = df.where(F.col("content_type").isin(base, *others)).groupBy("content_type").agg(F.count("*").alias("n"), F.avg("upvotes").alias("avg_upvotes"), F.avg("num_comments").alias("avg_comments"), F.avg("upvote_ratio").alias("avg_ratio"))
+    boost = F.when((F.col("content_type") != base) & (F.col("k") > 0), F.col("avg_upvotes") / F.col("base"))
+    return g.crossJoin(F.broadcast(text)).select("content_type", "n", "avg_upvotes", "avg_comments", "avg_ratio", boost.alias("boost"))
 
 
 def crossrefs(docs: DataFrame) -> DataFrame:
@@ -276,9 +331,9 @@ def spread(df: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
-    """One row per key, the first in `order`; a null key keeps all its rows."""
+    """One row per key, the first in `order`; a null key keeps all its rows, which take no part in the window."""
     r = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn("_r", r).where((F.col("_r") == 1) | F.col(key).isNull()).drop("_r")
+    return df.where(F.col(key).isNotNull()).withColumn("_r", r).where(F.col("_r") == 1).drop("_r").union(df.where(F.col(key).isNull()))
 
 
 def top_per(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -303,4 +358,4 @@ def community_profiles(df: DataFrame, least: int = 20) -> DataFrame:
     from_top = F.col("n") - F.col("upto") + F.col("k")
     lines = c.where(F.col("n") >= least).groupBy("subreddit", "n").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("upvotes"))).alias("median"), F.max(F.when(from_top > F.floor(F.col("n") / 10), F.col("upvotes"))).alias("top_line"))
     words = df.where("title <> ''").groupBy("subreddit").agg(F.avg(T.n_words(F.col("title"))).alias("title_words"))
-    return lines.join(words, "subreddit", "left").join(dominant_media(df), "subreddit").select("subreddit", "n", "median", "top_line", "title_words", "dominant", "share")
+    return lines.join(words, "subreddit", "left").join(dominant_media(df).drop("distribution"), "subreddit").select("subreddit", "n", "median", "top_line", "title_words", "dominant", "share")

@@ -45,26 +45,31 @@ def over_represented(df: DataFrame, percentile: float = 0.9, least: int = 10, le
     return c.orderBy(F.desc(F.col("rate") * F.log("n")), *keys).limit(top).select(*keys, "viral", "n", "rate", "chi2")
 
 
-def anti_patterns(df: DataFrame, percentile: float = 0.9, least: int = 10) -> DataFrame:
-    """Buckets of non-viral posts with the share below the global median. `df` has features()."""
+def anti_patterns(df: DataFrame, percentile: float = 0.9, least: int = 10, shown: int = 3) -> DataFrame:
+    """Buckets of non-viral posts with the share below the global median and the first `shown` posts by doc_id. `df` has
+    features(). Fewer than `least` non-viral posts give none."""
     m = df.agg(F.percentile("upvotes", F.lit(percentile)).alias("threshold"), F.median("upvotes").alias("median"))
-    bucket = F.when(F.col("title_words") < 5, "short_title").when(F.col("title_words") > 20, "long_title").when(F.col("body_words") < 20, "thin_body").when(F.col("body_words") > 400, "wall_of_text").otherwise("other")
-    g = df.crossJoin(F.broadcast(m)).where(F.col("upvotes") < F.col("threshold")).groupBy(bucket.alias("bucket"))
-    g = g.agg(F.count("*").alias("n"), F.count_if(F.col("upvotes") < F.col("median")).alias("failed")).where(F.col("n") >= least)
-    return g.select("bucket", "n", (F.col("failed").cast("double") / F.col("n").cast("double")).alias("failure_rate"))
+    bucket = F.when(F.col("title_words") < 5, "very_short_title").when(F.col("title_words") > 30, "very_long_title").when(F.col("body_words") == 0, "no_body_text")
+    bucket = bucket.when(F.col("body_words") > 1000, "very_long_body").otherwise("generic_low_engagement")
+    low = df.crossJoin(F.broadcast(m)).where(F.col("upvotes") < F.col("threshold")).select(bucket.alias("bucket"), "post_id", "doc_id", "upvotes", "median")
+    g = low.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("upvotes") < F.col("median")).alias("failed")).where(F.col("n") >= least)
+    first = low.withColumn("_i", F.row_number().over(W.partitionBy("bucket").orderBy("doc_id"))).where(F.col("_i") <= shown)
+    first = first.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "post_id"))), lambda x: x["post_id"]).alias("exemplars"))
+    return g.join(first, "bucket").select("bucket", "n", (F.col("failed").cast("double") / F.col("n").cast("double")).alias("failure_rate"), "exemplars")
 
 
-#: Words that no title template holds.
+# Words that no title template holds.
 STOP = (
-    "the a an is are was were be been have has had do does did will would to of in for on with at by from and but or not so if this that it "
-    "i me my we our you your he she what which who when where why how just about like all can get one really"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "to", "of", "in", "for",
+    "on", "with", "at", "by", "from", "and", "but", "or", "not", "so", "if", "this", "that", "it", "i", "me", "my", "we", "our", "you", "your", "he",
+    "she", "what", "which", "who", "when", "where", "why", "how", "just", "about", "like", "all", "can", "get", "one", "really",
+)
 
 
 def templates(viral: DataFrame, keys: list[str], share: float = 0.15, top: int = 10, most: int = 5) -> DataFrame:
     """Per cluster with at least 3 titles: of its `top` most frequent bigrams of title words (no stop words, over 2 letters)
     at most `most` that occur max(2, share of the titles) times, joined by a pipe. Ties go by the alphabet."""
-    words = F.filter(F.transform(F.split(F.trim(F.regexp_replace("title", r"\s+", " ")), " "), lambda w: F.btrim(F.lower(w), F.lit(".,!?:;\"'()[]"))), lambda w: ~w.isin(STOP) & (F.length(w) > 2))
+    words = F.filter(F.transform(F.split(F.trim(F.regexp_replace("title", r"\s+", " ")), " "), lambda w: F.btrim(F.lower(w), F.lit(".,!?:;\"'()[]"))), lambda w: ~w.isin(*STOP) & (F.length(w) > 2))
     rest = F.greatest(F.size("_w") - 1, F.lit(0))
     grams = F.zip_with(F.slice("_w", F.lit(1), rest), F.slice("_w", F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
     titles = viral.where(F.col("title") != "")

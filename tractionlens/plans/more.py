@@ -10,7 +10,7 @@ from tractionlens.operators import feedback as B
 from tractionlens.operators import mining as M
 from tractionlens.operators import selection as R
 from tractionlens.operators import validation as V
-from tractionlens.plans.registry import _BW, _CL, _CLS, _FEAT, _N, _NARRATIVE, _NW, _P, _TH, _TW, ORACLES, QUERIES, _add, _add_f, _any, _classified, _hits, _q
+from tractionlens.plans.registry import _BW, _CL, _CLS, _FEAT, _N, _NARRATIVE, _NW, _P, _STRIP, _TH, _TW, ORACLES, QUERIES, _add, _add_f, _any, _classified, _hits, _q
 from tractionlens.sources import posts as S
 
 c = F.col
@@ -42,7 +42,7 @@ _add("a7_correlation_p", lambda p: _rounded(A.with_p(A.pearson(p.withColumn("w",
 _add("a17_sentiment_correlation", lambda p: _rounded(A.with_p(A.pearson(p.withColumn("w", F.round(T.intensity(c("title")) * 10).cast("long")), "w", "upvotes", [])), "r", "p"), f"WITH w AS (SELECT round(CASE WHEN {_P} = {_N} THEN 0.3 ELSE least(greatest({_P}, {_N}) / 5, 1.0) END * 10)::BIGINT AS x, upvotes AS y FROM posts), " + _correlation("x", "y", "", "w"))
 _ENGAGING = "(contains(last, '?') OR " + _any("last", T.ENGAGING) + ")"
 _LAST = "e AS (SELECT *, trim(string_split(trim(body), '.')[-1]) AS last FROM posts)"
-_add("a22_engagement_correlation", lambda p: _rounded(A.with_p(A.pearson(p.withColumn("w", T.engaging(c("body")).cast("long")), "w", "num_comments", [])), "r", "p"), f"WITH {_LAST}, w AS (SELECT {_ENGAGING}::BIGINT AS x, num_comments AS y FROM e), " + _correlation("x", "y", "", "w"))
+_add("a22_engagement_correlation", lambda p: _rounded(A.with_p(A.pearson(p.where(F.length("body") >= 20).withColumn("w", T.calls_to_answer(c("body")).cast("long")), "w", "num_comments", [])), "r", "p"), f"WITH w AS (SELECT (ends_with({_STRIP.format('body')}, '?') OR {_any('body', T.CALLS)})::BIGINT AS x, num_comments AS y FROM posts WHERE length(body) >= 20), " + _correlation("x", "y", "", "w"))
 _add("t26_engaging", lambda p: p.select("post_id", T.engaging(c("body")).alias("engaging")), f"WITH {_LAST} SELECT post_id, {_ENGAGING} AS engaging FROM e")
 
 
@@ -115,14 +115,18 @@ rd AS (SELECT post_id, tier, upvotes, CASE WHEN n > 0 AND sentences > 0 THEN gre
   CASE WHEN n > 0 AND sentences > 0 THEN greatest(0.0, least(100.0, 206.835::DOUBLE - 1.015::DOUBLE * (n / sentences) - 84.6::DOUBLE * (syl / n))) ELSE 0.0 END AS ease FROM y)"""
 _read = lambda p: p.withColumn("r", T.readability(c("body")))
 _add("t3_readability", lambda p: _rounded(_read(p).select("post_id", "r.*"), "grade", "ease"), f"WITH {_READ} SELECT post_id, round(grade, 9) AS grade, round(ease, 9) AS ease FROM rd")
-_add("a23_readability_range", lambda p: A.optimal_range(_read(p).withColumn("e", F.floor(c("r.ease"))), "e", "upvotes", ["tier"]), f"""WITH {_READ}, r AS (SELECT tier, floor(ease)::BIGINT AS m, post_id, upvotes AS u FROM rd),
+_graded = lambda p: _read(p.where(F.length("body") >= 20)).withColumn("e", F.round(c("r.grade") * 100).cast("long"))
+_GRADED = f"{_READ}, gr AS (SELECT post_id, tier, upvotes, round(grade * 100)::BIGINT AS e FROM rd JOIN posts USING (post_id, tier, upvotes) WHERE length(body) >= 20)"
+_add("a23_readability_range", lambda p: A.optimal_range(_graded(p), "e", "upvotes", ["tier"]), f"""WITH {_GRADED}, r AS (SELECT tier, e AS m, post_id, upvotes AS u FROM gr),
 k AS (SELECT *, row_number() OVER w AS i, sum(u) OVER (PARTITION BY tier ORDER BY m, post_id ROWS UNBOUNDED PRECEDING) AS c, count(*) OVER (PARTITION BY tier) AS n FROM r WINDOW w AS (PARTITION BY tier ORDER BY m, post_id)),
 b AS (SELECT a.tier, a.i, a.m, z.m AS hi, z.c - (a.c - a.u) AS s FROM k a JOIN k z ON a.tier = z.tier AND z.i = a.i + greatest(5, a.n // 5) - 1 WHERE a.i <= a.n - greatest(5, a.n // 5)),
 t AS (SELECT * FROM b WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY tier ORDER BY s DESC, i) = 1) SELECT tier, m AS low, hi AS high FROM t""")
+_add("a23_readability_correlation", lambda p: _rounded(A.with_p(A.pearson(_graded(p), "e", "upvotes", ["tier"])), "r", "p"), f"WITH {_GRADED}, z AS (SELECT tier, e AS x, upvotes AS y FROM gr), " + _correlation("x", "y", "tier,", "z"))
 _PAR = r"CASE WHEN trim(body) = '' THEN 0 ELSE len(regexp_extract_all(body, '\n\n')) + 1 END"
 _add("t4_paragraphs", lambda p: p.select("post_id", T.paragraphs(c("body")).alias("paragraphs")), f"SELECT post_id, ({_PAR})::BIGINT AS paragraphs FROM posts")
-_DIST = "SELECT tier, count(*) AS n, avg(x) AS mean, sqrt((count(*)::DOUBLE * sum(x*x)::DOUBLE - sum(x)::DOUBLE * sum(x)::DOUBLE) / (count(*)::DOUBLE * count(*)::DOUBLE)) AS std, " + ", ".join(f"quantile_cont(x, {q / 100}) AS p{q}" for q in (10, 25, 50, 75, 90, 99)) + " FROM w GROUP BY tier"
-_add("a23_paragraph_distribution", lambda p: A.distribution(p.withColumn("x", T.paragraphs(c("body"))), "x", ["tier"]), f"WITH w AS (SELECT tier, ({_PAR})::BIGINT AS x FROM posts) {_DIST}")
+_DIST = "SELECT tier, count(*) AS n, avg(x) AS mean, sqrt((count(*)::DOUBLE * sum(x*x)::DOUBLE - sum(x)::DOUBLE * sum(x)::DOUBLE) / (count(*)::DOUBLE * count(*)::DOUBLE)) AS std, " + ", ".join(f"quantile_cont(x, {q / 100}) AS p{q}" for q in (10, 25, 50, 75, 90, 95, 99)) + " FROM w GROUP BY tier"
+_add("a23_grade_distribution", lambda p: A.distribution(_graded(p), "e", ["tier"]), f"WITH {_GRADED}, z AS (SELECT tier, e AS x FROM gr) {_DIST.replace('FROM w', 'FROM z')}")
+_add("a23_paragraph_distribution", lambda p: A.distribution(p.where(F.length("body") >= 20).withColumn("x", (F.regexp_count("body", F.lit("\n\n")) + 1).cast("long")), "x", ["tier"]), rf"WITH w AS (SELECT tier, (len(regexp_extract_all(body, '\n\n')) + 1)::BIGINT AS x FROM posts WHERE length(body) >= 20) {_DIST}")
 _MEDIA = "CASE trim(lower(a)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.MEDIA_ALIASES.items()) + " ELSE 'text' END"
 _add("t5_media_aliases", lambda p: p.withColumn("a", F.concat(F.lit(" "), F.upper("content_type"))).groupBy(T.media(c("a")).alias("media")).agg(F.count("*").alias("n")), f"SELECT {_MEDIA} AS media, count(*) AS n FROM (SELECT ' ' || upper(content_type) AS a FROM posts) GROUP BY 1")
 _add("t6_tier_of_size", lambda p: p.groupBy("subreddit").agg((F.sum("upvotes") * 20_000).alias("size")).withColumn("tier", T.tier_of(c("size"))), "SELECT subreddit, (sum(upvotes) * 20000)::BIGINT AS size, CASE WHEN sum(upvotes) * 20000 >= 20000000 THEN 't1' WHEN sum(upvotes) * 20000 >= 1000000 THEN 't2' ELSE 't3' END AS tier FROM posts GROUP BY 1")
