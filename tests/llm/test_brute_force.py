@@ -1,5 +1,6 @@
 """Whole queries against plain Python on the smallest tables; long texts; words and stems that were held out."""
 
+import json
 import math
 import os
 import re
@@ -324,58 +325,137 @@ def test_urls_of_held_out_hosts(spark):
 # ---------------------------------------------------------------- tool calls
 
 
-def test_tool_log_query(spark):
-    """Statuses and the order's promises from plain Python over the log."""
-    sf = SF.replace("sf0.001", "sf0.01")
-    log = as_tool_log(spark.read.parquet(f"{sf}/conversations.parquet")).collect()
-    parse = lambda t: __import__("json").loads(t) if t and t.startswith("{") else {}
-    calls, results, answers = {}, Counter(), {}
+def _fits(arguments):
+    """The schema of the tool `answer` in plain Python."""
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    if not isinstance(arguments, dict) or set(arguments) - {"query", "turn", "limit", "style", "context"}:
+        return False
+    if not isinstance(arguments.get("query"), str) or not whole(arguments.get("turn")) or not whole(arguments.get("limit", 0)) or not isinstance(arguments.get("style", ""), str):
+        return False
+    context = arguments.get("context", {})
+    return isinstance(context, dict) and not set(context) - {"turns"} and isinstance(context.get("turns", []), list) and all(map(whole, context.get("turns", [])))
+
+
+def plain_links(log):
+    """(conv_id, turn, kind, call_id, status, json) of rows whose conversation, turns and ids are given, and calls by id."""
+    calls, answers, rows = {}, {}, []
+    strings = lambda x: [x] if isinstance(x, str) else [y for y in x or [] if isinstance(y, str)]
     for r in sorted(log, key=lambda r: (r["conv_id"], r["turn"])):
-        p = parse(r["text"])
+        p = json.loads(r["text"]) if (r["text"] or "").startswith("{") else {}
         for c in p.get("tool_calls", []):
-            calls.setdefault((r["conv_id"], c["id"]), (r["turn"], c))
+            arguments = json.loads(c["arguments"]) if isinstance(c["arguments"], str) else c["arguments"]
+            parents = strings(c.get("depends_on"))
+            shown = {"arguments": arguments, "id": c["id"], "name": c["name"], "type": "call"} | ({"depends_on": sorted(set(parents))} if parents else {})
+            first = calls.setdefault((r["conv_id"], c["id"]), (r["turn"], parents))
+            rows.append((r["conv_id"], r["turn"], "call", c["id"], "duplicate" if first[0] != r["turn"] else "" if _fits(arguments) else "invalid", shown))
         if "tool_call_id" in p:
-            answers.setdefault((r["conv_id"], p["tool_call_id"]), r["turn"])
+            first = answers.setdefault((r["conv_id"], p["tool_call_id"]), r["turn"])
+            rows.append((r["conv_id"], r["turn"], "result", p["tool_call_id"], "duplicate" if first != r["turn"] else "", {"content": p["content"], "id": p["tool_call_id"], "type": "result"}))
+        if not p:
+            rows.append((r["conv_id"], r["turn"], "message", None, "message", {"content": r["text"] or "", "role": r["role"], "type": "message"}))
+    out = []
+    for conv, turn, kind, ident, status, shown in rows:
+        key = (conv, ident)
+        if kind == "call" and not status:
+            status = "ok" if key in answers else "unanswered"
+        if kind == "result":
+            status = "orphan" if key not in calls else status or "ok"
+        out.append((conv, turn, kind, ident, status, json.dumps({k: v for k, v in shown.items() if v is not None}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
+    return out, calls
+
+
+def plain_places(calls):
+    """For each call the latest turn among itself and all it depends on; none on a cycle or behind one."""
+    memo = {}
+
+    def at(key, path):
+        if key in path:
+            return None
+        if key not in memo or memo[key] is None:
+            above = [at((key[0], p), path | {key}) for p in calls[key][1] if (key[0], p) in calls]
+            memo[key] = None if None in above else max([calls[key][0], *above])
+        return memo[key]
+
+    return {key: at(key, frozenset()) for key in calls}
+
+
+def test_tool_log_query(spark):
+    """Rows, statuses and canonical JSON from plain Python over the log, and what the order promises."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    log = as_tool_log(spark.read.parquet(f"{sf}/conversations.parquet")).collect()
+    wanted, calls = plain_links(log)
     got = op8_chat_format(spark, sf).collect()
-    assert len(got) == len(log)
-    place = {}
-    for r in got:
-        key = (r["conv_id"], r["call_id"])
-        if r["kind"] == "call":
-            turn, c = calls[key]
-            if r["turn"] != turn:
-                assert r["status"] == "duplicate"
-                continue
-            arguments = c["arguments"]
-            valid = "query" in arguments and re.fullmatch("-?[0-9]+", arguments["turn"]) and re.fullmatch("-?[0-9]+", arguments.get("limit", "0"))
-            assert r["status"] == ("invalid" if not valid else "ok" if key in answers else "unanswered")
-            place[key] = r["seq"]
-        elif r["kind"] == "result":
-            assert r["status"] == ("orphan" if key not in calls else "ok" if answers[key] == r["turn"] else "duplicate")
-    assert {r["status"] for r in got} >= {"ok", "invalid", "duplicate", "orphan", "message"}
-
-    def cyclic(key):
-        seen = set()
-        while key in calls and key not in seen:
-            seen.add(key)
-            key = (key[0], calls[key][1].get("depends_on"))
-        return key in seen
-
-    moved = 0
-    for key, (turn, c) in calls.items():
-        parent = (key[0], c.get("depends_on"))
-        if parent in calls and not cyclic(key):
-            assert place[parent] < place[key]
-            moved += calls[parent][0] > turn
-    assert moved
+    assert sorted((tuple(r[x] for x in ("conv_id", "turn", "kind", "call_id", "status", "json")) for r in got), key=str) == sorted(wanted, key=str)
+    assert {r["status"] for r in got} >= {"ok", "invalid", "duplicate", "orphan", "message", "unanswered"}
+    assert any(len(c[1]) > 1 for c in calls.values())
+
+    place = {(r["conv_id"], r["call_id"]): r["seq"] for r in got if r["kind"] == "call" and calls[r["conv_id"], r["call_id"]][0] == r["turn"]}
+    latest, moved, webs = plain_places(calls), 0, 0
+    for key, (turn, parents) in calls.items():
+        for parent in ((key[0], p) for p in parents):
+            if parent in calls and latest[key] is not None:
+                assert place[parent] < place[key]
+                moved += calls[parent][0] > turn
+                webs += len(parents) > 1
+    assert moved and webs
     for r in got:
         if r["kind"] == "result" and r["status"] == "ok":
             assert r["seq"] > place[r["conv_id"], r["call_id"]]
+    per = Counter(r["conv_id"] for r in got)
+    assert all(sorted(r["seq"] for r in got if r["conv_id"] == conv) == list(range(n)) for conv, n in list(per.items())[:40])
+
+
+def test_order_over_several_parents(spark):
+    """Random webs of calls, with cycles: every call that is neither on a cycle nor behind one comes after all its parents."""
+    r = __import__("random").Random(4)
+    rows, calls = [], {}
+    for conv in range(30):
+        n = r.randint(1, 9)
+        for i in range(n):
+            parents = [f"c{r.randrange(n)}" for _ in range(r.choice([0, 0, 1, 2, 3]))]
+            calls[conv, f"c{i}"] = (i, parents)
+            rows.append((conv, i, "a", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "answer", "arguments": {"query": "q", "turn": i}, "depends_on": parents}]})))
+    got = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    place, latest = {(x["conv_id"], x["call_id"]): x["seq"] for x in got}, plain_places(calls)
+    assert len(got) == len(rows) and {x["status"] for x in got} == {"unanswered"}
+    for key, (_, parents) in calls.items():
+        assert latest[key] is None or all(place[key[0], p] < place[key] for p in parents)
+    assert any(v is None for v in latest.values())
+
+
+def test_types_nulls_and_ids_of_calls(spark):
+    call = lambda i, a, more="": '{"tool_calls":[{"id":%s,"name":"answer","arguments":%s%s}]}' % (i, a, more)
+    good = '{"turn":7,"query":"q"}'
+    rows = [
+        (1, 0, call('"a"', '{"query":5,"turn":7}')),
+        (1, 1, call('"b"', '{"query":"5","turn":"7"}')),
+        (1, 2, call('"c"', '{"turn":7,"query":"q","context":{"turns":[1,2]}}', ',"depends_on":["a","b"]')),
+        (1, 3, call('"d"', '{"turn":7.5,"query":"q"}')),
+        (1, 4, call('"e"', '{"turn":7,"query":"q","context":{"turns":[1,"2"]}}')),
+        (1, 5, call('"f"', '{"turn":7,"query":"q","context":{"more":1}}')),
+        (1, 6, call("9", good)),
+        (1, 7, '{"tool_call_id":"c","content":{"b":1.50,"a":[null,{"z":1,"y":2}]}}'),
+        (1, None, call('"n"', good)),
+        (1, None, '{"tool_call_id":"n","content":"r"}'),
+        (1, 8, '{"a":1,"a":2}'),
+        (None, 1, call('"q"', good)),
+        (None, 2, '{"tool_call_id":"q"}'),
+        (None, None, None),
+    ]
+    out = link_tool_calls(spark.createDataFrame([(c, t, "x", text) for c, t, text in rows], "conv_id long, turn long, role string, text string")).collect()
+    status = {(r["conv_id"], r["kind"], r["call_id"]): r["status"] for r in out}
+    assert [status[1, "call", x] for x in "abcdef"] == ["invalid", "invalid", "ok", "invalid", "invalid", "invalid"]
+    assert status[1, "call", None] == "unanswered" and status[1, "call", "n"] == "ok" and status[1, "result", "n"] == "ok"
+    assert status[None, "call", "q"] == "unanswered" and status[None, "result", "q"] == "orphan"
+    shown = {(r["kind"], r["call_id"]): r["json"] for r in out if r["conv_id"] == 1}
+    assert shown["call", "c"] == '{"arguments":{"context":{"turns":[1,2]},"query":"q","turn":7},"depends_on":["a","b"],"id":"c","name":"answer","type":"call"}'
+    assert json.loads(shown["result", "c"])["content"] == '{"a":[null,{"y":2,"z":1}],"b":1.5}'
+    assert {r["seq"] for r in out if r["conv_id"] is None} == {None} and sorted(r["seq"] for r in out if r["conv_id"] == 1) == list(range(11))
 
 
 def test_long_chain_against_the_logs_order(spark):
     n = 200
-    call = lambda i: '{"tool_calls":[{"id":"c%d","name":"answer","arguments":{"query":"x","turn":"1"}%s}]}' % (i, f',"depends_on":"c{i + 1}"' if i + 1 < n else "")
+    call = lambda i: '{"tool_calls":[{"id":"c%d","name":"answer","arguments":{"query":"x","turn":1}%s}]}' % (i, f',"depends_on":"c{i + 1}"' if i + 1 < n else "")
     rows = [(1, i, "assistant", call(i), "clash") for i in range(n)] * 2 + [(2, 0, "assistant", call(0), "clash")]
     out = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _at string")).where("conv_id = 1").collect()
     first = {}

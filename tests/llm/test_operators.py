@@ -246,7 +246,7 @@ def test_urls(spark):
 
 
 def test_tool_calls(spark):
-    call = lambda i, dep=None, args='{"query":"x","turn":"1"}': '{"tool_calls":[{"id":"%s","name":"answer","arguments":%s%s}]}' % (i, args, f',"depends_on":"{dep}"' if dep else "")
+    call = lambda i, dep=None, args='{"query":"x","turn":1}': '{"tool_calls":[{"id":"%s","name":"answer","arguments":%s%s}]}' % (i, args, f',"depends_on":"{dep}"' if dep else "")
     rows = [
         (1, 0, "assistant", call("b", "a")),
         (1, 1, "tool", '{"tool_call_id":"b","content":"rb"}'),
@@ -259,14 +259,14 @@ def test_tool_calls(spark):
         (2, 1, "assistant", call("y", "x")),
         (None, 0, "user", "hello {"),
     ]
-    out = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), bucket=2).collect()
+    out = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     one = sorted((r for r in out if r["conv_id"] == 1), key=lambda r: r["seq"])
     assert [r["seq"] for r in one] == list(range(len(one)))
     place = {(r["kind"], r["call_id"]): r["seq"] for r in one}
     assert place["call", "a"] < place["call", "b"] < place["result", "b"] and place["call", "a"] < place["result", "a"]
     status = {(r["kind"], r["call_id"]): r["status"] for r in one}
     assert status["call", "c"] == "invalid" and status["result", "zz"] == "orphan" and status["call", "a"] == "ok"
-    assert [r["json"] for r in one if r["call_id"] == "a"][0] == '{"arguments":{"query":"x","turn":"1"},"id":"a","name":"answer","type":"call"}'
+    assert [r["json"] for r in one if r["call_id"] == "a"][0] == '{"arguments":{"query":"x","turn":1},"id":"a","name":"answer","type":"call"}'
     assert len([r for r in out if r["conv_id"] == 2]) == 2 and len(out) == len(rows)
 
 

@@ -7,10 +7,9 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractionlens.llm.shared import table, written
+from tractionlens.llm.shared import numbered, table, written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 GROWN = "grp string, pos long, carried binary, digest binary, witness binary, grown binary, total long"
@@ -104,20 +103,6 @@ def leaf_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]).cast("binary"), 256))
 
 
-def numbered(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """nodes (grp, ...) with pos, the place in the group by `order` from 0, and total, the nodes of the group.
-
-    Rows are sorted in ranges of (grp, order), so a group of any size is spread over many tasks; what a range holds of a group
-    is numbered by the counts of the ranges before it."""
-    ranged = nodes.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order)
-    n = F.monotonically_increasing_id()
-    ranged = written(ranged.withColumns({"_part": F.shiftright(n, 33), "_row": n.bitwiseAND(F.lit((1 << 33) - 1))}), "ranged")
-    parts = ranged.groupBy("grp", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    whole = W.partitionBy("grp")
-    parts = parts.select("grp", "_part", (F.sum("_n").over(whole.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("total"))
-    return ranged.join(parts, ["grp", "_part"]).withColumn("pos", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
-
-
 def grown(nodes: DataFrame, arity: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """Of nodes (grp, pos, total, digest, carried): the nodes with block and witness inside the block, and the roots of the
     blocks as the next nodes. A block is an aligned subtree of arity ** levels nodes; a group of one block ends at its root."""

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"([^\x20\x09-\x0D]+)"
@@ -45,6 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def numbered(nodes: DataFrame, order: list[str], grp: str = "grp") -> DataFrame:
+    """`nodes` with pos, the place in the group by `order` from 0, and total, the nodes of the group.
+
+    Rows are sorted in ranges of (`grp`, order), so a group of any size is spread over many tasks; what a range holds of a group
+    is numbered by the counts of the ranges before it."""
+    ranged = nodes.repartitionByRange(grp, *order).sortWithinPartitions(grp, *order)
+    n = F.monotonically_increasing_id()
+    ranged = written(ranged.withColumns({"_part": F.shiftright(n, 33), "_row": n.bitwiseAND(F.lit((1 << 33) - 1))}), "ranged")
+    parts = ranged.groupBy(grp, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    whole = W.partitionBy(grp)
+    parts = parts.select(grp, "_part", (F.sum("_n").over(whole.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("total"))
+    return ranged.join(parts, [grp, "_part"]).withColumn("pos", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def words(text: Column) -> Column:
     """The words of a text; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(1))
