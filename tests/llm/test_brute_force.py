@@ -366,17 +366,14 @@ def plain_links(log):
 
 def plain_places(calls):
     """For each call the latest turn among itself and all it depends on; none on a cycle or behind one."""
-    memo = {}
-
-    def at(key, path):
-        if key in path:
-            return None
-        if key not in memo or memo[key] is None:
-            above = [at((key[0], p), path | {key}) for p in calls[key][1] if (key[0], p) in calls]
-            memo[key] = None if None in above else max([calls[key][0], *above])
-        return memo[key]
-
-    return {key: at(key, frozenset()) for key in calls}
+    out, left = {}, dict(calls)
+    while True:
+        above = {key: [(key[0], p) for p in parents if (key[0], p) in calls] for key, (_, parents) in left.items()}
+        found = {key: max([calls[key][0], *(out[p] for p in ps)]) for key, ps in above.items() if all(p in out for p in ps)}
+        if not found:
+            return out | dict.fromkeys(left)
+        out |= found
+        left = {key: c for key, c in left.items() if key not in found}
 
 
 def test_tool_log_query(spark):

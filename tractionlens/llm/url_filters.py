@@ -54,10 +54,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column, sizes: tuple[int, ...], buckets: int) -> Column:
-    """Hashes of the character n-grams of host and path; an n-gram of the host differs from the same one of the path."""
+    """Hashes of the character n-grams of host and path; an n-gram of the host differs from the same one of the path. They are
+    looked up in one walk over the text: a match of no width before each character, but not within a surrogate pair."""
     def of(kind: str, text: Column, n: int) -> Column:
-        bucket = lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int")
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), bucket)).otherwise(F.array().cast("array<int>"))
+        found = F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found, lambda g: F.pmod(F.xxhash64(F.lit(kind), g), F.lit(buckets)).cast("int"))
 
     parts = [of(kind, F.concat(F.lit("^"), part, F.lit("$")), n) for kind, part in (("h", host), ("p", path)) for n in sizes]
     return F.concat(*parts)
@@ -68,7 +69,7 @@ def fit(labelled: DataFrame, sizes: tuple[int, ...], buckets: int, max_rows: int
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(max_rows)
     rows = rows.select(F.col("label").cast("double").alias("label"), host.alias("_h"), path.alias("_p"))
-    rows = rows.select("label", grams(F.col("_h"), F.col("_p"), sizes, buckets).cast("array<string>").alias("_g")).cache()
+    rows = rows.select("label", grams(F.col("_h"), F.col("_p"), sizes, buckets).cast("array<string>").alias("_g")).coalesce(1).cache()  # bounded by max_rows: one task a pass
     counter = CountVectorizer(inputCol="_g", outputCol="features", vocabSize=buckets).fit(rows)
     model = LogisticRegression(maxIter=60, regParam=reg, standardization=False).fit(counter.transform(rows))
     rows.unpersist()
