@@ -13,7 +13,7 @@ from tractionlens.llm import shared
 from tractionlens.llm.chat_format import link_tool_calls
 from tractionlens.llm.decontamination import decontaminate
 from tractionlens.llm.language_id import identify
-from tractionlens.llm.lm_scoring import score_texts, started, train_everywhere, word_counts
+from tractionlens.llm.lm_scoring import dealt_words, op5_lm_scoring, score_texts, started, train_rounds, word_counts
 from tractionlens.llm.near_dedup import near_duplicates
 from tractionlens.llm.packing import fullest, pack, plan
 from tractionlens.llm.quality_rules import quality_rules
@@ -271,7 +271,7 @@ def test_tool_calls(spark):
 
 
 def test_scores_add_up(spark, messy):
-    out = score_texts(messy, F.col("doc_id") == 8, steps=20, tokens=400, top_words=50, max_train_docs=20).collect()
+    out = score_texts(messy, F.col("doc_id") == 8, steps=20, tokens=400, top_words=50).collect()
     counts, n = {}, 0
     rows = [(r["doc_id"], (r["text"] or "").lower().split()) for r in messy.select("doc_id", "text").collect()]
     for d, ws in rows:
@@ -304,10 +304,47 @@ def test_model_learns_from_all_training_texts(spark):
     ids[list(want)] = list(want.values())
     model = started(ids, 64, 8, 16, 1)
     assert all(model.slot[i] > 2 for i in want)
-    more = train_everywhere(table, model, default_path(), 16, 200, 2, 1)
-    assert any((more.p[k] != model.p[k]).any() for k in model.p)
-    assert train_everywhere(table.limit(0), model, default_path(), 16, 200, 2, 1) is model
-    few = score_texts(table, F.col("doc_id") == 100, steps=10, tokens=200, max_train_docs=1, classes=64, d=8).collect()
-    all_texts = score_texts(table.union(docs(spark, [(102, "zebra quilts " * 400)])), F.col("doc_id") == 100, steps=10, tokens=200, max_train_docs=1, classes=64, d=8, every=2).collect()
+    both = word_counts(table, default_path())
+    words = dealt_words(both, 1622, 5, 2)
+    kept = words.collect()
+    assert {bytes(r["spelled"]) for r in kept} == {b"", *(enc.packed(" " + w) for w in ("plain", "words", "zebra", "quilts"))}
+    assert len({r["shard"] for r in kept}) == 3 and abs(sum(r["mass"] for r in kept) - 1622) < 1e-6
+    more = train_rounds(words, 1622, model, 16, 2, 10, 200, 1)
+    assert all((more.p[k] != model.p[k]).any() for k in ("e", "u", "wq"))
+    assert train_rounds(words.limit(0), 0, model, 16, 2, 10, 200, 1) is model
+    few = score_texts(table, F.col("doc_id") == 100, steps=10, tokens=200, classes=64, d=8).collect()
+    all_texts = score_texts(table.union(docs(spark, [(102, "zebra quilts " * 400)])), F.col("doc_id") == 100, steps=10, tokens=200, classes=64, d=8).collect()
     score = lambda rows: next(r["score"] for r in rows if r["doc_id"] == 100)
     assert score(all_texts) > score(few) / 2
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    rows = table.select("doc_id", "text").collect()
+    found = []
+    for parts in (1, 2, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = score_texts(df, F.col("doc_id") % 7 == 2, steps=30, tokens=300, classes=128, d=16, rounds=3, shard_words=2_000).collect()
+        found.append({r["doc_id"]: (r["base_score"], r["score"]) for r in out})
+    for other in found[1:]:
+        assert all(np.allclose(other[k], found[0][k], rtol=1e-5, atol=1e-3) for k in found[0])
+    assert abs(sum(x[1] for x in found[0].values()) - sum(x[1] for x in found[2].values())) < 1e-2
+
+
+def test_lm_query_counts(spark):
+    """The query on the smallest table: rows, counts and base scores from plain Python; scores finite and better than uniform."""
+    sf = "/root/testdata/sf0.001"
+    out = {r["doc_id"]: r for r in op5_lm_scoring(spark, sf).collect()}
+    rows = [(r["doc_id"], re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts = {}
+    for d, ws in rows:
+        for w in [*ws, None] if not held(d) else []:
+            counts[w] = counts.get(w, 0) + 1
+    n = sum(counts.values())
+    assert len(out) == len(rows)
+    for d, ws in rows:
+        r = out[d]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(d), len(ws) + 1, sum(w in counts for w in [*ws, None]), n)
+        assert abs(r["base_score"] - sum(np.log10((counts.get(w, 0) + 1) / (n + len(counts) + 1)) for w in [*ws, None])) < 1e-6 * (len(ws) + 1)
+        assert np.isfinite(r["score"]) and -12 < r["score"] / r["n_tokens"] < 0
