@@ -2,11 +2,15 @@
 
 import gzip
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tractionlens.operators import evolution as E
 from tractionlens.sources import files as S
+from tractionlens.sources.files import export, read_json_documents
 from tractionlens.streaming import feedback as X
 
 
@@ -77,11 +81,82 @@ def test_stream_classes_and_milestones(spark, tmp_path):
     assert sorted((r["post_id"], r["milestone"]) for r in rows["marks"]) == [("p", 25), ("p", 50)]
 
 
-def test_evolve_gate(spark, tmp_path):
-    batch = spark.range(30).select(F.lit("a").alias("pattern_id"), F.when(F.col("id") < 20, "viral").otherwise("failed").alias("performance"))
-    run = X.evolve(str(tmp_path / "o"))
-    run(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "o/rates")).count() == 0
-    run(batch, 1)
-    run(batch, 1)
-    assert [(r["n"], round(r["success_rate"], 4)) for r in spark.read.parquet(str(tmp_path / "o/rates")).collect()] == [(60, 0.6667)]
+def _rows(spark, *rows):
+    """Feedback of one pattern a row: (event, pattern, day, performance)."""
+    return spark.createDataFrame([(e, p, f"2024-01-{d:02d} 00:00:00", x) for e, p, d, x in rows], "event_id long, pattern_id string, t string, performance string").select("event_id", "pattern_id", F.col("t").cast("timestamp").alias("tracked_at"), "performance")
+
+
+def _table(spark, path):
+    return sorted(tuple(r) for r in spark.read.parquet(path).select("pattern_id", "n", "success_rate", "streak", "status").collect())
+
+
+def test_evolve_gate_and_replays(spark, tmp_path):
+    out = str(tmp_path / "o")
+    run = X.evolve(out, gate=50, inactive_from=5)
+    first = _rows(spark, *[(i, "a", 1 + i % 9, "viral" if i < 20 else "failed") for i in range(30)])
+    run(first, 0)
+    assert not (tmp_path / "o/rates/batch=0").exists()
+    second = _rows(spark, *[(100 + i, "a", 11 + i % 3, "failed") for i in range(20)], *[(200 + i, "b", 11, "viral") for i in range(3)])
+    run(second, 1)
+    # the last success is on day 9 (event 17), one failure follows it there (event 26)
+    rates = _table(spark, f"{out}/rates/batch=1")
+    assert rates == [("a", 50, 0.4, 21, "inactive"), ("b", 3, 1.0, 0, "active")]
+    log = sorted((r["pattern_id"], r["kind"], r["old_rate"], r["new_rate"]) for r in spark.read.parquet(f"{out}/log/batch=1").collect())
+    assert log == [("a", "inactive", 0.0, 0.4), ("a", "up", 0.0, 0.4), ("b", "up", 0.0, 1.0)]
+    run(second, 1)
+    assert _table(spark, f"{out}/rates/batch=1") == rates
+    assert len(log) == spark.read.parquet(f"{out}/log/batch=1").count()
+    # a success ends the streak, but a pattern that went inactive stays so
+    run(_rows(spark, (300, "a", 20, "passing"), (301, "b", 20, "failed"), (302, "c", 20, "failed")), 2)
+    assert _table(spark, f"{out}/rates/batch=2") == [("a", 51, 0.4118, 0, "inactive"), ("b", 4, 0.75, 1, "active"), ("c", 1, 0.0, 1, "active")]
+    assert [r["kind"] for r in spark.read.parquet(f"{out}/log/batch=2").collect()] == ["down"]
+
+
+def test_evolved_state_equals_all_feedback_at_once(spark, tmp_path):
+    """Batches in order, and batches with rows that come late."""
+    r = random.Random(3)
+    rows = [(i, f"p{r.randrange(4)}", r.randint(1, 28), r.choice(["failed", "failed", "viral", "passing"])) for i in range(120)]
+    for name, batches in (("ordered", sorted(rows, key=lambda x: (x[2], x[0]))), ("late", rows)):
+        out = str(tmp_path / name)
+        run = X.evolve(out, gate=1)
+        for k in range(4):
+            run(_rows(spark, *batches[30 * k : 30 * k + 30]), k)
+        state = sorted(tuple(x) for x in spark.read.parquet(f"{out}/state/batch=3").select("pattern_id", "n", "ok", "streak").collect())
+        want = sorted(tuple(x) for x in E.folded(_rows(spark, *rows)).select("pattern_id", "n", "ok", "streak").collect())
+        assert state == want
+
+
+def test_evolution_keeps_unused_patterns_and_attributes_failures(spark):
+    patterns = spark.createDataFrame([("a", 0.9, "active"), ("z", 0.3, "inactive")], "pattern_id string, success_rate double, status string")
+    feedback = _rows(spark, *[(i, "a", 1 + i, "failed") for i in range(10)])
+    table, log = E.evolved(patterns, feedback, gate=10)
+    assert sorted(map(tuple, table.collect())) == [("a", 10, 0.0, 10, "inactive"), ("z", 0, 0.3, 0, "inactive")]
+    assert sorted(r["kind"] for r in log.collect()) == ["down", "inactive"]
+    table, log = E.evolved(patterns, feedback, gate=11)
+    assert table.count() == 0 and log.count() == 0
+    posts = feedback.limit(2).withColumns({"title": F.lit("one two"), "body": F.lit(None).cast("string"), "upvote_ratio": F.lit(0.8), "given": F.when(F.col("event_id") == 0, "known")})
+    found = E.attributed(posts, patterns, F.col("given")).collect()
+    assert [r["attribution"]["primary"] for r in found] == ["title"]
+
+
+def test_daily_counts_of_a_stream(spark, tmp_path):
+    days = [("a", "2024-01-01T01:00:00"), ("a", "2024-01-01T02:00:00"), ("b", "2024-01-02T01:00:00")]
+    _events(tmp_path / "in", "1.json", [(i, "p", p, "s", t, 1) for i, (p, t) in enumerate(days)])
+    stream = X.feedback_stream(spark, str(tmp_path / "in")).withColumn("performance", F.lit("failed"))
+    query = X.daily_counts(stream).writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((str(r["day"])[:10], r["pattern_id"], r["n"]) for r in spark.table("daily").collect())
+    assert got == [("2024-01-01", "a", 2), ("2024-01-02", "b", 1)]
+
+
+def test_json_documents_newest_first_and_export(spark, tmp_path):
+    for i, text in enumerate(('{"a": 1}', "{broken", '{"a": 3}')):
+        f = tmp_path / f"d{i}.json"
+        f.write_text(text)
+        os.utime(f, (1_700_000_000 + 100 * i,) * 2)
+    found = read_json_documents(spark, f"{tmp_path}/*.json", StructType([StructField("a", LongType())])).select("a").collect()
+    assert [r["a"] for r in found if r["a"] is not None] == [3, 1]
+    posts = spark.createDataFrame([("p1", "t1"), ("p2", "t2")], "post_id string, tier string")
+    export(posts, posts.select("post_id"), posts.select("tier"), str(tmp_path / "out"))
+    assert sorted(r["post_id"] for r in spark.read.parquet(f"{tmp_path}/out/posts/tier=t2").collect()) == ["p2"]
+    assert spark.read.parquet(f"{tmp_path}/out/comments").count() == 2 and spark.read.parquet(f"{tmp_path}/out/crossrefs").columns == ["tier"]

@@ -13,7 +13,7 @@ from tractionlens.operators import mining as M
 from tractionlens.operators import selection as R
 from tractionlens.operators import validation as V
 from tractionlens.functions import drafts as D
-from tractionlens.plans import checks, more, registry  # noqa: F401
+from tractionlens.plans import analyses, checks, intervals, jobs, more, registry  # noqa: F401
 
 from tractionlens.sources import posts as S
 
