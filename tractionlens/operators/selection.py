@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tractionlens.functions import text as T
 from tractionlens.operators import analysis as A
+from tractionlens.operators import feedback as B
 
 
 def keyword_index(df: DataFrame, least: int = 3, top: int = 80, used: int = 30) -> DataFrame:
@@ -41,17 +42,45 @@ def pattern_score(applies: Column, works_in_tier: Column, rate: Column, live: Co
     return F.when(applies, 40).when(works_in_tier, 10).otherwise(0) + F.least(blended * 40, F.lit(30.0)) + F.when(sample >= 100, 15).when(sample >= 30, 8).otherwise(3) + fit
 
 
+def best_patterns(patterns: Column, tier: Column, words: Column, top: int = 3) -> Column:
+    """Of an array of patterns the `top` with the best score for a request of `tier` and `words`, best first, one of each hook:
+    structs (pattern_id, hook, score). All within the request's row: no join, no shuffle."""
+    score = lambda p: F.round(pattern_score(p["tier"] == tier, F.lit(True), p["rate"], p["live"], p["n"], p["hook"], words), 9)
+    scored = F.array_sort(F.transform(patterns, lambda p: F.struct((-score(p)).alias("_s"), p["pattern_id"].alias("pattern_id"), p["hook"].alias("hook"))))
+    # a one-element array binds the sorted patterns, which are looked at once for each of them
+    first = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: y["hook"] == x["hook"]))
+    kept = F.transform(F.array(scored), first)[0]
+    return F.slice(F.transform(kept, lambda x: F.struct(x["pattern_id"].alias("pattern_id"), x["hook"].alias("hook"), (-x["_s"]).alias("score"))), 1, top)
+
+
+def with_patterns(requests: DataFrame, patterns: DataFrame, top: int = 3) -> DataFrame:
+    """requests (tier, words, ...) with `patterns`, see best_patterns(). `patterns` is a top-k of mining, so it travels as one array."""
+    all_of = patterns.agg(F.collect_list(F.struct("pattern_id", "tier", "hook", "rate", "live", "n")).alias("_p"))
+    return requests.crossJoin(F.broadcast(all_of)).withColumn("patterns", best_patterns(F.col("_p"), F.col("tier"), F.col("words"), top)).drop("_p")
+
+
 def select_patterns(requests: DataFrame, patterns: DataFrame, top: int = 3) -> DataFrame:
-    """For each request (request_id, tier, words) the `top` patterns with the best score, one of each hook. `patterns` is a
-    top-k of mining, so it travels as one array and no row meets it in a join."""
-    fields = ["pattern_id", "tier", "hook", "rate", "live", "n"]
-    all_of = patterns.agg(F.collect_list(F.struct(*fields)).alias("_p"))
-    pairs = requests.crossJoin(F.broadcast(all_of)).select("request_id", F.col("tier").alias("_tier"), "words", F.explode("_p").alias("p"))
-    score = pattern_score(F.col("p.tier") == F.col("_tier"), F.lit(True), F.col("p.rate"), F.col("p.live"), F.col("p.n"), F.col("p.hook"), F.col("words"))
-    scored = pairs.select("request_id", "p.pattern_id", "p.hook", F.round(score, 9).alias("score"))
-    order = [F.desc("score"), "pattern_id"]
-    best = scored.withColumn("_h", F.row_number().over(W.partitionBy("request_id", "hook").orderBy(*order))).where("_h = 1").drop("_h")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(*order))).where(F.col("rank") <= top)
+    """For each request (request_id, tier, words) the `top` patterns with the best score, one of each hook."""
+    found = with_patterns(requests, patterns, top).select("request_id", F.posexplode("patterns").alias("_i", "p"))
+    return found.select("request_id", "p.pattern_id", "p.hook", "p.score", (F.col("_i") + 1).alias("rank"))
+
+
+def recommended(requests: DataFrame, index: DataFrame, hints: DataFrame, patterns: DataFrame, tiers: DataFrame, default: str, top: int = 3, matched: int = 5) -> DataFrame:
+    """Per request (request_id, text): the `matched` communities it fits (`default` where none does), and for the first of them its
+    tier by tiers (subreddit, tier), the `top` patterns, a flair for the text, and the best window to post in.
+
+    Only the words of requests are shuffled, to meet the keywords; the rest is worked out within a request's row."""
+    hits = communities_for(requests, index, hints, matched)
+    listed = hits.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "subreddit"))), lambda x: x["subreddit"]).alias("_m"))
+    all_ = requests.join(listed, "request_id", "left").withColumn("communities", F.coalesce("_m", F.array(F.lit(default)))).drop("_m")
+    all_ = all_.withColumns({"subreddit": F.col("communities")[0], "words": T.request_words(F.col("text"))})
+    all_ = all_.join(tiers.groupBy("subreddit").agg(F.min("tier").alias("tier")), "subreddit", "left")
+    window = lambda ws: F.struct(F.lit(ws[0][0]).alias("day"), F.lit(ws[0][1]).alias("window"))
+    when = window(B.WINDOWS)
+    for community, windows in B.COMMUNITY_WINDOWS.items():
+        when = F.when(F.col("subreddit") == community, window(windows)).otherwise(when)
+    out = with_patterns(all_, patterns, top).withColumns({"flair": T.flair(F.col("text")), "_w": when})
+    return out.select("request_id", "communities", "subreddit", "tier", "patterns", "flair", "_w.day", "_w.window")
 
 
 def generic_patterns(patterns: DataFrame, top: int) -> DataFrame:

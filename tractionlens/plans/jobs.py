@@ -10,7 +10,9 @@ from tractionlens.functions import text as T
 from tractionlens.operators import classification as K
 from tractionlens.operators import collection as C
 from tractionlens.operators import evolution as E
+from tractionlens.operators import selection as R
 from tractionlens.plans.checks import _TODO
+from tractionlens.plans.more import _FLAIR, _MT, _PT, _STOP, _TOPIC, _hints, _pattern_table, _requests
 from tractionlens.plans.registry import _BW, _CLS, _TW, ORACLES, QUERIES, _add, _add_f, _classified, _hook, _q
 from tractionlens.sources import posts as S
 from tractionlens.sources.storage import fresh
@@ -110,3 +112,22 @@ ORACLES["c8_attributed"] = f"""WITH {S.FEEDBACK_SQL}, {_EVOLVED}, x AS (SELECT f
 s AS (SELECT *, CASE WHEN n < 5 THEN 20 WHEN n > 30 THEN 30 ELSE 70 END AS t, CASE WHEN m < 20 THEN 20 WHEN m > 1000 THEN 30 ELSE 70 END AS b, CASE WHEN u > 0 AND u < 0.5 THEN 20 WHEN u >= 0.7 THEN 75 ELSE 50 END AS q, CASE WHEN rate < 20 THEN 25 END AS p FROM x),
 w AS (SELECT pattern_id, list_transform(list_sort(list_filter([CASE WHEN t < 50 THEN {{'s': t, 'i': 0, 'd': 'title'}} END, CASE WHEN b < 50 THEN {{'s': b, 'i': 1, 'd': 'body'}} END, CASE WHEN q < 50 THEN {{'s': q, 'i': 2, 'd': 'quality'}} END, CASE WHEN p < 50 THEN {{'s': p, 'i': 3, 'd': 'pattern'}} END], lambda x: x IS NOT NULL)), lambda x: x.d)[1] AS d FROM s)
 SELECT pattern_id, coalesce(d, '-') AS reason, CASE WHEN d IS NULL THEN 'take another pattern or community' ELSE {_TODO}[d] END AS action, count(*) AS n FROM w GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- recommendation
+def _recommended(spark, d):
+    p = S.posts(spark, d)
+    out = R.recommended(_requests(spark, d), R.keyword_index(p), _hints(p), _pattern_table(spark, d), p.select("subreddit", "tier"), "src0")
+    return out.withColumns({"communities": F.array_join("communities", ","), "patterns": F.array_join(F.transform("patterns", lambda x: x["pattern_id"]), ",")})
+
+
+QUERIES["c9_recommended"] = _recommended
+ORACLES["c9_recommended"] = rf"""WITH {S.FEEDBACK_SQL}, {_CLS}, {_PT}, {_MT.replace("QUALIFY rank <= 3)", "QUALIFY rank <= 5)")},
+rt AS (SELECT conv_id || '-' || turn AS request_id, coalesce(text, '') AS body, list_concat(regexp_extract_all(coalesce(text, ''), '[\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}]{{2,}}'), list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP})))[1:15] AS words FROM conversations WHERE role = 'user'),
+ml AS (SELECT request_id, string_agg(subreddit, ',' ORDER BY rank) AS communities, min(subreddit) FILTER (rank = 1) AS first FROM mt GROUP BY 1), ti AS (SELECT subreddit, min(tier) AS tier FROM posts GROUP BY 1),
+rr AS (SELECT rt.request_id, body, words, array_to_string(words, ' ') AS joined, coalesce(communities, 'src0') AS communities, coalesce(first, 'src0') AS subreddit, ti.tier AS rtier FROM rt LEFT JOIN ml USING (request_id) LEFT JOIN ti ON ti.subreddit = coalesce(first, 'src0')),
+sc AS (SELECT request_id, pattern_id, hook, round(CASE WHEN tier = rtier THEN 40 ELSE 10 END + least(CASE WHEN live IS NOT NULL THEN 0.7::DOUBLE * rate + 0.3::DOUBLE * live ELSE rate END * 40, 30.0) + CASE WHEN n >= 100 THEN 15 WHEN n >= 30 THEN 8 ELSE 3 END
+  + CASE WHEN len(words) = 0 THEN 0 WHEN len(list_filter(words, lambda w: contains(hook, lower(w)))) > 0 THEN 15 WHEN {_TOPIC} THEN 8 ELSE 0 END, 9) AS score FROM rr, pl),
+b1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY request_id, hook ORDER BY score DESC, pattern_id) = 1),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pattern_id) AS i FROM b1), b3 AS (SELECT request_id, string_agg(pattern_id, ',' ORDER BY i) FILTER (i <= 3) AS patterns FROM b2 GROUP BY 1)
+SELECT request_id, communities, subreddit, rtier AS tier, coalesce(patterns, '') AS patterns, {_FLAIR} AS flair, 'Tuesday' AS day, '14:00-17:00 UTC' AS "window" FROM rr LEFT JOIN b3 USING (request_id)"""
