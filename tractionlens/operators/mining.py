@@ -35,10 +35,12 @@ def chi_square(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def over_represented(df: DataFrame, percentile: float = 0.9, least: int = 10, least_viral: int = 5, critical: float = 3.841459, top: int = 8) -> DataFrame:
-    """Clusters whose share of viral posts is above that of the rest: Yates chi-square from `critical` on, ranked by rate * ln(n)."""
+    """Clusters whose share of viral posts is above that of the rest: Yates chi-square from `critical` on, ranked by rate * ln(n).
+    With fewer than 3 * `least` posts or `least` viral ones there are none."""
     c = clusters(df, percentile)
     whole = c.agg(F.sum("viral").alias("all_viral"), F.sum("n").alias("all_n"))
     c = c.crossJoin(F.broadcast(whole)).where((F.col("n") >= least) & (F.col("viral") >= least_viral))
+    c = c.where((F.col("all_n") >= 3 * least) & (F.col("all_viral") >= least))
     x = chi_square(F.col("viral"), F.col("n") - F.col("viral"), F.col("all_viral") - F.col("viral"), F.col("all_n") - F.col("n") - F.col("all_viral") + F.col("viral"))
     c = c.withColumn("chi2", x).where((F.col("chi2") >= critical) & (F.col("viral") * F.col("all_n") > F.col("all_viral") * F.col("n")))
     keys = ["tier", "hook", "narrative", "content_type"]
@@ -80,15 +82,30 @@ def templates(viral: DataFrame, keys: list[str], share: float = 0.15, top: int =
     return ranked.groupBy(*keys).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_r", "gram"))), 1, most), lambda x: x["gram"]).alias("grams")).select(*keys, F.array_join("grams", "|").alias("template"))
 
 
-def described(df: DataFrame, patterns: DataFrame, percentile: float) -> DataFrame:
-    """`patterns` (few, by cluster) with the template and the p25-p75 ranges of title and body words of their viral posts in `df`."""
+def described(df: DataFrame, patterns: DataFrame, percentile: float, by: list[str] | None = None) -> DataFrame:
+    """`patterns` (few, by cluster) with the template and the p25-p75 ranges of title and body words of their viral posts in
+    `df`: those from the score percentile of all posts on, or of each group of `by`."""
     keys = ["tier", "hook", "narrative", "content_type"]
-    viral = df.crossJoin(F.broadcast(viral_threshold(df, percentile, []))).where(F.col("upvotes") >= F.col("threshold")).join(F.broadcast(patterns.select(*keys)), keys)
+    line = F.broadcast(viral_threshold(df, percentile, by or []))
+    viral = (df.join(line, by) if by else df.crossJoin(line)).where(F.col("upvotes") >= F.col("threshold")).join(F.broadcast(patterns.select(*keys)), keys)
     quarter = lambda c, p, text: F.floor(F.percentile(F.when(F.col(text) != "", F.col(c)), F.lit(p)))
     ranges = viral.groupBy(*keys).agg(quarter("title_words", 0.25, "title").alias("t_lo"), quarter("title_words", 0.75, "title").alias("t_hi"), quarter("body_words", 0.25, "body").alias("b_lo"), quarter("body_words", 0.75, "body").alias("b_hi"))
     return patterns.join(ranges, keys, "left").join(templates(viral, keys), keys, "left")
 
 
+def detailed(df: DataFrame, patterns: DataFrame, percentile: float, shown: int = 5) -> DataFrame:
+    """described() patterns with `exemplars`, their first `shown` viral posts by doc_id, and `communities`, where the cluster's
+    posts are. The posts of a cluster are cut to `shown` before they are gathered."""
+    keys = ["tier", "hook", "narrative", "content_type"]
+    few = F.broadcast(patterns.select(*keys))
+    own = df.join(few, keys)
+    viral = own.crossJoin(F.broadcast(viral_threshold(df, percentile, []))).where(F.col("upvotes") >= F.col("threshold"))
+    first = viral.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy("doc_id"))).where(F.col("_i") <= shown)
+    first = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "post_id"))), lambda x: x["post_id"]).alias("exemplars"))
+    places = own.groupBy(*keys).agg(F.array_sort(F.collect_set("subreddit")).alias("communities"))
+    return described(df, patterns, percentile).join(first, keys, "left").join(places, keys, "left")
+
+
 def title_match(title: Column, template: Column) -> Column:
     """0, or 0.4 + 0.6 * the share of the template's bigrams that the lower-cased title holds."""
     grams = F.filter(F.split(F.coalesce(template, F.lit("")), r"\|"), lambda g: g != "")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractionlens.functions import text as T
 from tractionlens.operators import mining as M
+from tractionlens.sources.storage import written
 
 NUMBERS = ("title_words", "body_words", "title_chars", "body_chars", "ratio", "grade", "ease", "hour_sin", "hour_cos", "day_sin", "day_cos", "weekend", "is_text", "is_image", "is_video", "is_link", "is_t1", "is_t2", "is_t3", "viral_rate", "hook_index", "narrative_index", "question", "number", "exclamation", "caps", "starts_how", "starts_why", "exclamations", "url", "code", "paragraphs", "bold", "list")
 _MODES = ("no_body", "tutorial_howto", "opinion_argument", "resource_showcase", "question_discussion", "story_personal")
@@ -61,16 +62,62 @@ def universal(by_tier: DataFrame, tiers: int = 3) -> DataFrame:
     return g.withColumn("kind", F.when(F.col("tiers") >= tiers, "universal").when(F.col("tiers") == 1, "specific").otherwise("shared"))
 
 
+TIERS = ("t1", "t2", "t3")
+
+
+def by_tier_confusion(train: DataFrame, test: DataFrame, percentile: float, pairs: Column, least: float = 0.45, patterns: DataFrame | None = None) -> DataFrame:
+    """Patterns mined in each tier of `train` against the posts of `test`: confusion by (source_tier, target_tier). `pairs` says
+    from a post's tier and source_tier whether the two meet; a post is viral from its tier's percentile in `test` on. Both
+    have features(). All tiers are mined and matched in one plan: the patterns, at most a top-k of each tier, travel as one array, and
+    a post is asked once per source tier."""
+    found = described_by_tier(train, percentile) if patterns is None else patterns
+    fields = ["tier", "hook", "narrative", "template", "t_lo", "t_hi", "b_lo", "b_hi"]
+    all_of = found.agg(F.collect_list(F.struct(*fields)).alias("_patterns"))
+    lines = M.viral_threshold(test, percentile, ["tier"])
+    posts = test.join(F.broadcast(lines), "tier").crossJoin(F.broadcast(all_of))
+    asked = posts.withColumn("source_tier", F.explode(F.array(*[F.lit(t) for t in TIERS]))).where(pairs)
+    predicted = F.exists("_patterns", lambda x: (x["tier"] == F.col("source_tier")) & (M.match_score(x) >= least))
+    rows = asked.withColumn("target_tier", F.col("tier"))
+    return M.confusion(rows, predicted, F.col("upvotes") >= F.col("threshold"), ["source_tier", "target_tier"])
+
+
+def described_by_tier(train: DataFrame, percentile: float) -> DataFrame:
+    """patterns_by_tier() with templates and ranges of their tier's viral posts."""
+    return M.described(train, patterns_by_tier(train, percentile), percentile, ["tier"])
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """What mining and matching read of the posts, as a table in the shared folder: texts are scanned once."""
+    body = F.when(F.col("body") != "", "+").otherwise("").alias("body")  # matching asks only whether there is one
+    return written(M.features(df).select("post_id", "subreddit", "tier", "hook", "narrative", "content_type", "title", body, "title_words", "body_words", "upvotes", "created_utc"), "prepared")
+
+
 def transfer_matrix(df: DataFrame, percentile: float = 0.8) -> DataFrame:
-    """Patterns mined in one tier, evaluated on the posts of each other one: a job for each of the three tiers."""
-    f, out = M.features(df), None
-    for tier in ("t1", "t2", "t3"):
-        own = f.where(F.col("tier") == tier)
-        patterns = M.described(own, M.over_represented(own, percentile), percentile)
-        test = M.matched(f.where(F.col("tier") != tier), patterns).join(F.broadcast(M.viral_threshold(f, percentile, ["tier"])), "tier")
-        rows = M.confusion(test, F.col("predicted"), F.col("upvotes") >= F.col("threshold"), ["tier"]).select(F.lit(tier).alias("source_tier"), F.col("tier").alias("target_tier"), "tp", "fp", "fn", "tn", "precision", "recall", "f1")
-        out = rows if out is None else out.union(rows)
-    return out
+    """Patterns mined in one tier, evaluated on the posts of each other one."""
+    f = prepared(df)
+    return by_tier_confusion(f, f, percentile, F.col("source_tier") != F.col("tier"))
+
+
+def stratified(df: DataFrame, split_at: str, n: int = 5, percentile: float = 0.8, recall: float = 0.4, precision: float = 0.3, ratio: float = 0.7, least_posts: int = 100) -> DataFrame:
+    """The gate by tier, a row each: the backtest before and from `split_at` on, the precision of patterns of a tier's other
+    communities on `n` held-out ones (by the hash of the name) and on their own, and whether either is enough; `passed` is true
+    on all rows if some tier's backtest and some tier's holdout are. Tiers with fewer than `least_posts` posts have no row."""
+    f = prepared(df)
+    own = F.col("source_tier") == F.col("tier")
+    at = F.lit(split_at).cast("timestamp")
+    back = by_tier_confusion(f.where(F.col("created_utc") < at), f.where(F.col("created_utc") >= at), percentile, own)
+    names = f.groupBy("tier", F.lower("subreddit").alias("_s")).agg(F.md5(F.concat_ws("-", F.first(F.lower("subreddit")), F.lit("42")).cast("binary")).alias("_h"))
+    held = names.withColumn("_i", F.row_number().over(W.partitionBy("tier").orderBy("_h", "_s"))).where(F.col("_i") <= n).select("tier", "_s", F.lit(True).alias("_held"))
+    marked = f.withColumn("_s", F.lower("subreddit")).join(held, ["tier", "_s"], "left")
+    train, test = marked.where("_held IS NULL"), marked.where("_held")
+    mined = written(described_by_tier(train, percentile), "patterns")
+    a, b = (by_tier_confusion(train, x, percentile, own, patterns=mined).select("target_tier", F.col("precision").alias(k)) for x, k in ((train, "train_precision"), (test, "holdout_precision")))
+    sizes = f.groupBy(F.col("tier").alias("target_tier")).agg(F.count("*").alias("n")).where(F.col("n") >= least_posts)
+    out = sizes.join(back.drop("source_tier"), "target_tier", "left").join(a, "target_tier", "left").join(b, "target_tier", "left")
+    held_ratio = F.col("holdout_precision") / F.greatest("train_precision", F.lit(0.001))
+    out = out.withColumn("ratio", held_ratio).withColumns({"backtest_passed": F.coalesce((F.col("recall") >= recall) & (F.col("precision") >= precision), F.lit(False)), "holdout_passed": F.coalesce(F.col("ratio") >= ratio, F.lit(False))})
+    gate = out.agg((F.max("backtest_passed") & F.max("holdout_passed")).alias("passed"))
+    return out.crossJoin(F.broadcast(gate)).select(F.col("target_tier").alias("tier"), "n", "precision", "recall", "f1", "train_precision", "holdout_precision", "ratio", "backtest_passed", "holdout_passed", "passed")
 
 
 def ml_features(df: DataFrame, encoding: DataFrame) -> DataFrame:

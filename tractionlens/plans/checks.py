@@ -102,6 +102,33 @@ _MOVED = " UNION ALL ".join(
 )
 ORACLES["a60_transfer_matrix"] = f"WITH {S.POSTS_SQL} {_MOVED}"
 
+
+def _gate(tier: str) -> str:
+    """A tier's row of the gate: backtest, and the holdout of its first two communities by hash."""
+    back = f"WITH a0 AS (SELECT * FROM posts WHERE tier = '{tier}' AND {_AT.format('<')}), b0 AS (SELECT * FROM posts WHERE tier = '{tier}' AND {_AT.format('>=')}), {_mined('a0', 0.8)}, {_confused('t', 'b0', '', _OWN.format('t'))} SELECT precision, recall, f1 FROM t"
+    ho = f"ho AS (SELECT s FROM (SELECT DISTINCT lower(subreddit) AS s FROM posts WHERE tier = '{tier}') ORDER BY md5(s || '-42'), s LIMIT 2)"
+    inside = "lower(subreddit) {0} (SELECT s FROM ho)"
+    held = f"WITH {ho}, a0 AS (SELECT * FROM posts WHERE tier = '{tier}' AND {inside.format('NOT IN')}), b0 AS (SELECT * FROM posts WHERE tier = '{tier}' AND {inside.format('IN')}), {_mined('a0', 0.8)}, {_confused('t', 'a0', '', _OWN.format('t'))}, {_confused('h', 'b0', '', _OWN.format('h'))} SELECT CASE WHEN (SELECT count(*) FROM a0) > 0 THEN t.precision END AS train_precision, CASE WHEN (SELECT count(*) FROM b0) > 0 THEN h.precision END AS holdout_precision FROM t, h"
+    return f"SELECT '{tier}' AS tier, (SELECT count(*) FROM posts WHERE tier = '{tier}') AS n, * FROM ({back}), ({held})"
+
+
+_add("c5_stratified", lambda p: V.stratified(p, "2024-01-15", n=2, least_posts=20), None)
+ORACLES["c5_stratified"] = f"""WITH {S.POSTS_SQL}, g AS ({" UNION ALL ".join(_gate(k) for k in ("t1", "t2", "t3"))}), r AS (SELECT *, holdout_precision / greatest(train_precision, 0.001::DOUBLE) AS ratio FROM g WHERE n >= 20),
+x AS (SELECT *, recall >= 0.4 AND precision >= 0.3 AS backtest_passed, coalesce(ratio >= 0.7, FALSE) AS holdout_passed FROM r) SELECT *, (SELECT bool_or(backtest_passed) AND bool_or(holdout_passed) FROM x) AS passed FROM x"""
+
+
+
+def _details(p):
+    f = M.features(p)
+    out = M.detailed(f, M.over_represented(f, 0.8), 0.8)
+    return out.select(*_KEYS.split(", "), "viral", "n", F.coalesce("template", F.lit("")).alias("template"), "t_lo", "t_hi", "b_lo", "b_hi", F.array_join("exemplars", ",").alias("exemplars"), F.array_join("communities", ",").alias("communities"))
+
+
+_add("a43_pattern_details", _details, f"""WITH {_mined("posts", 0.8).replace("pat AS (SELECT " + _KEYS + " FROM y", "pat AS (SELECT " + _KEYS + ", viral, n FROM y")},
+ve AS (SELECT {_KEYS}, post_id, row_number() OVER (PARTITION BY {_KEYS} ORDER BY doc_id) AS i FROM f, th WHERE upvotes >= threshold), ex AS (SELECT {_KEYS}, string_agg(post_id, ',' ORDER BY i) FILTER (i <= 5) AS exemplars FROM ve GROUP BY ALL),
+cm AS (SELECT {_KEYS}, string_agg(DISTINCT subreddit, ',' ORDER BY subreddit) AS communities FROM f GROUP BY ALL)
+SELECT {_K}, viral, n, coalesce(template, '') AS template, t_lo::BIGINT AS t_lo, t_hi::BIGINT AS t_hi, b_lo::BIGINT AS b_lo, b_hi::BIGINT AS b_hi, exemplars, communities FROM pat LEFT JOIN rg USING ({_KEYS}) LEFT JOIN tpl USING ({_KEYS}) LEFT JOIN ex USING ({_KEYS}) LEFT JOIN cm USING ({_KEYS})""")
+
 # ---------------------------------------------------------------- models
 _add("l7_feature_importance", lambda p: V.importances(p, "2024-01-15"), None)
 _add("m3_valence", lambda p: V.valence_scores(p, V.valence_lexicon(p)).withColumn("compound", F.round("compound", 9) + 0.0), """WITH w AS (SELECT post_id, upvotes, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS word FROM posts),

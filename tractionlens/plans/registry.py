@@ -185,7 +185,7 @@ _TH = "th AS (SELECT quantile_cont(upvotes, {0}) AS threshold FROM f)"
 _CL = "cl AS (SELECT tier, hook, narrative, content_type, count(*) FILTER (upvotes >= threshold) AS viral, count(*) AS n, avg(upvotes) AS avg_upvotes, (count(*) FILTER (upvotes >= threshold))::DOUBLE / count(*) AS rate FROM f, th GROUP BY ALL)"
 _add("a42_clusters", lambda p: M.clusters(M.features(p)), f"WITH {_FEAT}, {_TH.format(0.9)}, {_CL} SELECT tier, hook, narrative, content_type, viral, n, avg_upvotes, rate FROM cl")
 _CHI = "x AS (SELECT cl.*, av, an, viral::DOUBLE AS a, (n - viral)::DOUBLE AS b, (av - viral)::DOUBLE AS c, (an - n - av + viral)::DOUBLE AS d FROM cl, (SELECT sum(viral)::BIGINT AS av, sum(n)::BIGINT AS an FROM cl) WHERE n >= 10 AND viral >= 5), y AS (SELECT *, CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) <= 0 THEN 0.0 ELSE (a+b+c+d) * greatest(abs(a*d - b*c) - (a+b+c+d) / 2, 0.0) * greatest(abs(a*d - b*c) - (a+b+c+d) / 2, 0.0) / ((a+b)*(c+d)*(a+c)*(b+d)) END AS chi2 FROM x)"
-_add("a43_patterns", lambda p: M.over_represented(M.features(p)), f"WITH {_FEAT}, {_TH.format(0.9)}, {_CL}, {_CHI} SELECT tier, hook, narrative, content_type, viral, n, rate, chi2 FROM y WHERE chi2 >= 3.841459 AND viral * an > av * n ORDER BY rate * ln(n) DESC, tier, hook, narrative, content_type LIMIT 8")
+_add("a43_patterns", lambda p: M.over_represented(M.features(p)), f"WITH {_FEAT}, {_TH.format(0.9)}, {_CL}, {_CHI} SELECT tier, hook, narrative, content_type, viral, n, rate, chi2 FROM y WHERE chi2 >= 3.841459 AND viral * an > av * n AND an >= 30 AND av >= 10 ORDER BY rate * ln(n) DESC, tier, hook, narrative, content_type LIMIT 8")
 _BUCKET = "CASE WHEN title_words < 5 THEN 'very_short_title' WHEN title_words > 30 THEN 'very_long_title' WHEN body_words = 0 THEN 'no_body_text' WHEN body_words > 1000 THEN 'very_long_body' ELSE 'generic_low_engagement' END"
 _add("a47_anti_patterns", lambda p: M.anti_patterns(M.features(p)).withColumn("exemplars", F.array_join("exemplars", ",")), f"WITH {_FEAT}, m AS (SELECT quantile_cont(upvotes, 0.9) AS t, median(upvotes)::DOUBLE AS md FROM f), b AS (SELECT *, {_BUCKET} AS bucket, row_number() OVER (PARTITION BY {_BUCKET} ORDER BY doc_id) AS i FROM f, m WHERE upvotes < t) SELECT bucket, count(*) AS n, (count(*) FILTER (upvotes < md))::DOUBLE / count(*) AS failure_rate, string_agg(post_id, ',' ORDER BY i) FILTER (i <= 3) AS exemplars FROM b GROUP BY 1 HAVING count(*) >= 10 AND (SELECT count(*) FROM b) >= 10")
 _add("a49_target_encoding", lambda p: M.target_encoding(p), "WITH t AS (SELECT subreddit, quantile_cont(upvotes, 0.75) AS threshold FROM posts GROUP BY 1) SELECT subreddit, threshold, count(*) AS n, (count(*) FILTER (upvotes >= threshold))::DOUBLE / count(*) AS viral_rate FROM posts JOIN t USING (subreddit) GROUP BY subreddit, threshold")
