@@ -15,6 +15,8 @@ from tractionlens.operators import fanout as N
 from tractionlens.operators import feedback as B
 from tractionlens.operators import mining as M
 from tractionlens.operators import resampling as P
+from tractionlens.operators import selection as R
+from tractionlens.operators import validation as V
 from tractionlens.sources import posts as S
 
 SF = "/root/testdata/sf0.001"
@@ -225,3 +227,49 @@ def test_analysis_reads_posts_once_and_takes_odd_rows(spark):
     assert rows["all", "all", "word_count", None, "n"] == 1 and rows["subreddit", "s", "flaired", None, "rate"] == 0.0
     assert rows["all", "all", "hour", "05", "n"] == 1 and ("tier", None, "flaired", None, "n") not in rows
     assert N.analyzed(odd.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- patterns and requests
+
+
+def test_patterns_need_enough_posts(spark):
+    rows = [{"title": "cats vs dogs today", "upvotes": 100}] * 9 + [{"title": "plain words", "upvotes": i % 5} for i in range(18)]
+    assert M.over_represented(M.features(_posts(spark, *rows)), 0.6, least=10).count() == 0
+    more = M.features(_posts(spark, *rows, *rows))
+    found = M.over_represented(more, 0.7, least=10, least_viral=5, critical=0.0)
+    best = M.detailed(more, found, 0.7).first()
+    assert best["exemplars"] == ["p0", "p1", "p2", "p3", "p4"] and best["communities"] == ["s"] and (best["t_lo"], best["t_hi"]) == (4, 4)
+
+
+def test_patterns_are_chosen_within_a_row(spark):
+    patterns = spark.createDataFrame([("p1", "t1", "pain_point", 0.5, None, 200), ("p0", "t1", "pain_point", 0.5, None, 200), ("p2", "t2", "story_opener", 0.9, 0.1, 40), ("p3", "t2", "number_shock", 0.0, None, 1)], "pattern_id string, tier string, hook string, rate double, live double, n long")
+    requests = spark.createDataFrame([("r", "t1", ["hard", "story"]), ("q", None, [])], "request_id string, tier string, words array<string>")
+    got = sorted((r["request_id"], r["rank"], r["pattern_id"], round(r["score"], 6)) for r in R.select_patterns(requests, patterns, 2).collect())
+    # t1: 40 + 20 + 15 + 8 for p0 before the equal p1 of the same hook, then 10 + 26.4 + 8 + 15 for p2; without a tier 10 for all
+    assert got == [("q", 1, "p0", 45.0), ("q", 2, "p2", 44.4), ("r", 1, "p0", 83.0), ("r", 2, "p2", 59.4)]
+
+
+def test_recommendation_falls_back(spark):
+    index = spark.createDataFrame([("alpha", "garden", 9, 1)], "subreddit string, word string, n long, rank int")
+    hints = spark.createDataFrame([("tomato", "webdev")], "word string, subreddit string")
+    patterns = spark.createDataFrame([("p1", "t1", "pain_point", 0.5, None, 200)], "pattern_id string, tier string, hook string, rate double, live double, n long")
+    tiers = spark.createDataFrame([("alpha", "t1"), ("webdev", "t2")], "subreddit string, tier string")
+    requests = spark.createDataFrame([("a", "my garden guide"), ("b", "tomato garden"), ("c", "")], "request_id string, text string")
+    got = {r["request_id"]: r for r in R.recommended(requests, index, hints, patterns, tiers, "other").collect()}
+    assert (got["a"]["communities"], got["a"]["tier"], got["a"]["flair"]) == (["alpha"], "t1", "Resource")
+    assert (got["b"]["communities"], got["b"]["day"], got["b"]["window"]) == (["webdev", "alpha"], "Monday", "14:00-17:00 UTC")
+    assert (got["c"]["communities"], got["c"]["tier"], [p["pattern_id"] for p in got["c"]["patterns"]]) == (["other"], None, ["p1"])
+
+
+def test_gate_of_tiers(spark):
+    rows = []
+    for tier in ("t1", "t2"):
+        for i in range(120):
+            good = i % 3 == 0
+            rows.append({"tier": tier, "subreddit": f"{tier}s{i // 3 % 6}", "title": "cats vs dogs in every house" if good else "plain words of no note", "body": "long body words " * 5, "upvotes": 100 + i if good else i % 7, "created_utc": f"2024-01-{1 + i % 28:02d} 00:00:00"})
+    rows += [{"tier": "t3", "created_utc": "2024-01-01 00:00:00"}] * 5
+    got = {r["tier"]: r for r in V.stratified(_posts(spark, *rows), "2024-01-15", n=2, percentile=0.7, least_posts=20).collect()}
+    assert set(got) == {"t1", "t2"}
+    assert all(r["backtest_passed"] and r["holdout_passed"] and r["passed"] and r["recall"] == 1.0 for r in got.values())
+    matrix = V.transfer_matrix(_posts(spark, *rows), 0.7).collect()
+    assert {(r["source_tier"], r["target_tier"]) for r in matrix} == {(a, b) for a in V.TIERS for b in V.TIERS if a != b}
