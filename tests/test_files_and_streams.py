@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tractionlens.operators import evolution as E
 from tractionlens.sources import files as S
+from tractionlens.sources import patterns as D
 from tractionlens.sources.files import export, read_json_documents
 from tractionlens.streaming import feedback as X
 
@@ -160,3 +161,30 @@ def test_json_documents_newest_first_and_export(spark, tmp_path):
     export(posts, posts.select("post_id"), posts.select("tier"), str(tmp_path / "out"))
     assert sorted(r["post_id"] for r in spark.read.parquet(f"{tmp_path}/out/posts/tier=t2").collect()) == ["p2"]
     assert spark.read.parquet(f"{tmp_path}/out/comments").count() == 2 and spark.read.parquet(f"{tmp_path}/out/crossrefs").columns == ["tier"]
+
+
+def test_pattern_documents_round_trip_and_drift(spark, tmp_path):
+    full = {"pattern_id": "p1", "applicable_subreddits": ["a", "b"], "confidence_interval": [0.0, 0.25], "recommended_metrics": {"title_words": [8, 11]}, "tier_effectiveness": {"t2": 0.5}, "sample_size": 15, "more": {"x": 1}}
+    drifted = {"pattern_id": "p2", "sample_size": "many", "tier_effectiveness": {}, "status": "inactive"}
+    (tmp_path / "patterns.json").write_text(json.dumps([full, drifted], indent=2))
+    (tmp_path / "lines.json").write_text(json.dumps(full) + "\n\n" + json.dumps(drifted) + "\n")
+    (tmp_path / "broken.json").write_text("[{")
+    for name, n in (("patterns.json", 2), ("lines.json", 2), ("broken.json", 0), ("*.json", 4)):
+        assert D.read_documents(spark, f"{tmp_path}/{name}").count() == n
+    found = D.with_defaults(D.read_documents(spark, f"{tmp_path}/patterns.json"))
+    rows = {r["pattern_id"]: r for r in found.collect()}
+    assert (rows["p1"]["recommended_metrics"], rows["p1"]["confidence_interval"], rows["p1"]["sample_size"], rows["p1"]["status"]) == ({"title_words": [8, 11]}, [0.0, 0.25], 15, "active")
+    assert (rows["p2"]["applicable_subreddits"], rows["p2"]["sample_size"], rows["p2"]["p_value"], rows["p2"]["status"]) == ([], 0, 1.0, "inactive")
+    low, high = D.metric_range("title_words")
+    assert {tuple(r) for r in found.select("pattern_id", low, high).collect()} == {("p1", 8, 11), ("p2", None, None)}
+    D.write_documents(found, str(tmp_path / "out"))
+    again = {r["pattern_id"]: r for r in D.read_documents(spark, str(tmp_path / "out")).collect()}
+    assert again == rows
+
+
+def test_draft_checks_in_two_languages_and_times(spark):
+    texts = ['{"passed": true, "dimensions": {"hook": 60.0}, "suggestions": ["x"]}', '{"是否通过": false, "各维度": {"hook": 25}, "改进建议": []}', "none", None]
+    got = [r["check"] for r in D.draft_checks(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, self_check string")).orderBy("i").collect()]
+    assert [(c["passed"], c["dimensions"], c["suggestions"]) for c in got] == [(True, {"hook": 60.0}, ["x"]), (False, {"hook": 25.0}, []), (None, None, None), (None, None, None)]
+    times = spark.createDataFrame([(0, "2024-01-02T03:04:05"), (1, "2024-01-02T03:04:05+02:00"), (2, "2024-01-02T03:04:05Z"), (3, "soon"), (4, None)], "i long, t string")
+    assert [str(r["t"])[11:16] for r in D.utc_times(times, "t").orderBy("i").select(F.date_format("t", "yyyy-MM-dd HH:mm").alias("t")).collect()] == ["03:04", "01:04", "03:04", "", ""]

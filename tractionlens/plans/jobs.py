@@ -10,10 +10,12 @@ from tractionlens.functions import text as T
 from tractionlens.operators import classification as K
 from tractionlens.operators import collection as C
 from tractionlens.operators import evolution as E
+from tractionlens.operators import mining as M
 from tractionlens.operators import selection as R
 from tractionlens.plans.checks import _TODO
 from tractionlens.plans.more import _FLAIR, _MT, _PT, _STOP, _TOPIC, _hints, _pattern_table, _requests
 from tractionlens.plans.registry import _BW, _CLS, _TW, ORACLES, QUERIES, _add, _add_f, _classified, _hook, _q
+from tractionlens.sources import patterns as P
 from tractionlens.sources import posts as S
 from tractionlens.sources.storage import fresh
 
@@ -131,3 +133,22 @@ sc AS (SELECT request_id, pattern_id, hook, round(CASE WHEN tier = rtier THEN 40
 b1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY request_id, hook ORDER BY score DESC, pattern_id) = 1),
 b2 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pattern_id) AS i FROM b1), b3 AS (SELECT request_id, string_agg(pattern_id, ',' ORDER BY i) FILTER (i <= 3) AS patterns FROM b2 GROUP BY 1)
 SELECT request_id, communities, subreddit, rtier AS tier, coalesce(patterns, '') AS patterns, {_FLAIR} AS flair, 'Tuesday' AS day, '14:00-17:00 UTC' AS "window" FROM rr LEFT JOIN b3 USING (request_id)"""
+
+
+# ---------------------------------------------------------------- pattern documents
+def _documents(p):
+    """Mined patterns written as documents and read again."""
+    f = M.features(p)
+    key = F.concat_ws("/", "tier", "hook", "narrative", "content_type")
+    rate = F.round("rate", 9)
+    metrics = F.create_map(F.lit("title_words"), F.array("t_lo", "t_hi"), F.lit("body_words"), F.array("b_lo", "b_hi"))
+    out = M.detailed(f, M.over_represented(f, 0.8), 0.8).select(key.alias("pattern_id"), c("communities").alias("applicable_subreddits"), c("template").alias("title_template"), rate.alias("historical_viral_rate"), c("exemplars").alias("exemplar_posts"), c("hook").alias("hook_type"), c("narrative").alias("narrative_mode"), metrics.alias("recommended_metrics"), F.create_map("tier", rate).alias("tier_effectiveness"), c("n").alias("sample_size"))
+    path = fresh(p.sparkSession, "patterns")
+    P.write_documents(out, path)
+    low, high = P.metric_range("title_words")
+    read = P.with_defaults(P.read_documents(p.sparkSession, path))
+    return read.select("pattern_id", F.array_join("applicable_subreddits", ",").alias("communities"), "title_template", "historical_viral_rate", "sample_size", low.alias("low"), high.alias("high"), "status")
+
+
+_add("s12_pattern_documents", _documents, None)
+ORACLES["s12_pattern_documents"] = f"SELECT tier || '/' || hook || '/' || narrative || '/' || content_type AS pattern_id, communities, template AS title_template, round(viral::DOUBLE / n, 9) AS historical_viral_rate, n AS sample_size, t_lo AS low, t_hi AS high, 'active' AS status FROM ({ORACLES['a43_pattern_details']})"
