@@ -192,3 +192,11 @@ def test_valence(spark):
     got = {r["post_id"]: round(r["compound"], 6) for r in V.valence_scores(posts, lexicon).collect()}
     assert got == {"a": round(4 / 31**0.5, 6), "b": 0, "c": 0, "d": 0}
     assert set(V.valence_scores(posts, lexicon.limit(0)).select("compound").distinct().collect()) == {(0.0,)}
+
+
+def test_spearman_of_many_rows(spark):
+    """n times the sum of squared ranks passes 64 bits: 60,000 rows in exact order have r = 1, and large scores don't overflow either."""
+    df = spark.range(60_000).select(F.lit("a").alias("k"), "id", (F.col("id") * 3_000_000).alias("x"), (-F.col("id") * 7).alias("y"))
+    (up,), (down,) = (A.spearman(df.withColumn("z", F.col(z)), "id", "z", ["k"]).select("r", "n").toPandas().itertuples(index=False) for z in ("x", "y"))
+    assert abs(up.r - 1) < 1e-12 and abs(down.r + 1) < 1e-12 and up.n == 60_000
+    assert abs(A.pearson(df, "x", "id", []).first()["r"] - 1) < 1e-12
