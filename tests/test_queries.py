@@ -200,3 +200,19 @@ def test_spearman_of_many_rows(spark):
     (up,), (down,) = (A.spearman(df.withColumn("z", F.col(z)), "id", "z", ["k"]).select("r", "n").toPandas().itertuples(index=False) for z in ("x", "y"))
     assert abs(up.r - 1) < 1e-12 and abs(down.r + 1) < 1e-12 and up.n == 60_000
     assert abs(A.pearson(df, "x", "id", []).first()["r"] - 1) < 1e-12
+
+
+@pytest.mark.parametrize("cut", [0, 1])
+def test_whole_jobs_of_communities_and_narratives(spark, tmp_path, cut):
+    """f1 returns every post of the community, and a24 every post, those with short bodies too."""
+    docs = [(i, f"Title number {i}. " + ("" if i % 5 == 0 else "words of a longer body " * 3), "en", "src3", 10) for i in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, 7, "click", float(i), '{"k": 1}') for i in range(90)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    if cut:
+        got = registry.QUERIES["a24_narrative_stats"](spark, str(tmp_path)).collect()
+        assert sum(r["n"] for r in got) == 90 and {r["narrative"]: r["n"] for r in got}["no_body"] == 18
+    else:
+        got = registry.QUERIES["f1_posts_of_community"](spark, str(tmp_path)).collect()
+        assert len(got) == 90 and [r["upvotes"] for r in got] == sorted((r["upvotes"] for r in got), reverse=True)
