@@ -216,3 +216,16 @@ def test_whole_jobs_of_communities_and_narratives(spark, tmp_path, cut):
     else:
         got = registry.QUERIES["f1_posts_of_community"](spark, str(tmp_path)).collect()
         assert len(got) == 90 and [r["upvotes"] for r in got] == sorted((r["upvotes"] for r in got), reverse=True)
+
+
+def test_syllables_and_sentences_of_whole_texts(spark):
+    """Counts over a whole text equal those word by word, and readability has no step per word."""
+    texts = ["", " ", "The cat sat. It ate.", "e e. e.e .e. !e? eye, be... queue; rhythm myth ée", "Be... a!? ?! ;:.\n\tsee\x0bthe  tree.e", "hmm. 42! \n. x", "whale-like agree,e e,", "  . ! ? ", "ÉTUDE apple.Apple apple.", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    words = F.transform(F.regexp_extract_all(F.lower("t"), F.lit(r"([^\s]+)"), F.lit(1)), lambda w: F.btrim(w, F.lit(".:;?!")))
+    by_word = F.aggregate(words, F.lit(0), lambda a, w: a + T.syllables(w))
+    parts = F.size(F.filter(F.split("t", r"[.!?]+"), lambda s: F.trim(s) != ""))
+    rows = df.where("t IS NOT NULL").select("t", T.text_syllables(F.lower("t")).alias("a"), by_word.alias("b"), T.n_sentences(F.col("t")).alias("c"), parts.alias("d")).collect()
+    assert [(r["t"], r["a"], r["c"]) for r in rows] == [(r["t"], r["b"], r["d"]) for r in rows]
+    plan = df.select(T.readability(F.col("t"))["ease"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
