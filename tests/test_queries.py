@@ -229,3 +229,11 @@ def test_syllables_and_sentences_of_whole_texts(spark):
     assert [(r["t"], r["a"], r["c"]) for r in rows] == [(r["t"], r["b"], r["d"]) for r in rows]
     plan = df.select(T.readability(F.col("t"))["ease"])._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan
+
+
+def test_draft_checks_read_a_body_once(spark):
+    df = spark.createDataFrame([("t", "b", "pain_point")], "t string, b string, h string")
+    plan = df.select(D.draft_check(F.col("t"), F.col("b"), F.col("h"), F.lit(5), F.lit(8), F.lit(20), F.lit(40)).alias("k")).select("k.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[aeiouy]+, 0") <= 1, plan
+    plan = df.select(D.attribution(F.col("t"), F.col("b"), F.lit(0.5), F.lit(10)).alias("k")).select("k.primary", "k.confidence")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2, plan

@@ -50,26 +50,37 @@ def draft_check(title: Column, body: Column, hook: Column, t_lo: Column, t_hi: C
     """Five scores of a draft against a pattern's hook and ranges, its suggestions, and whether it passes: the title is within
     three words of its range and no anti-pattern occurs. Null title or body counts as empty."""
     title, body = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
-    n, m, ease = T.n_words(title), T.n_words(body), T.readability(body)["ease"]
-    near = (F.abs(n - t_lo) <= 3) | (F.abs(n - t_hi) <= 3)
-    in_title = F.when(n.between(t_lo, t_hi), 100).when(near, 70).otherwise(30)
-    in_body = F.when((m == 0) | m.between(b_lo, b_hi), 100).when((b_hi <= 1) & (m <= 1), 100).when(m < b_lo, 50).otherwise(40)
-    readable = F.when(m < 20, 100).when(ease.between(50, 85), 100).when(ease.between(40, 90), 70).otherwise(40)
     shown = F.when((hook == "") | (body == ""), 80).otherwise(hook_presence(title, body, hook))
-    generic = T.has_any(F.lower(F.concat(title, body)), GENERIC) & (m < 50)
-    anti = {"short title": n < 5, "long title": n > 30, "no body": (b_hi > 1) & (F.length(F.trim(body)) < 10), "generic": generic}
-    bad = F.array_compact(F.array(*[F.when(test, name) for name, test in anti.items()]))
-    free = F.greatest(F.lit(0), 100 - F.size(bad) * 30)
-    advice = [F.when(score < least, text) for score, least, text in ((in_title, 100, "title length"), (in_body, 100, "body length"), (readable, 100, "readability"), (shown, 50, "hook"))]
-    scores = {"title_length": in_title, "body_length": in_body, "readability": readable, "hook": shown, "anti": free}
-    passed = (in_title > 30) & (F.size(bad) == 0)
-    return F.struct(*[v.alias(k) for k, v in scores.items()], F.concat(F.array_compact(F.array(*advice)), bad).alias("suggestions"), passed.alias("passed"))
+    blank, generic = F.length(F.trim(body)) < 10, T.has_any(F.lower(F.concat(title, body)), GENERIC)
+    # what reads the texts is bound, so each text is scanned once and not once for every score that names it
+    read = {"n": T.n_words(title), "m": T.n_words(body), "ease": T.readability(body)["ease"], "shown": shown, "blank": blank, "generic": generic}
+
+    def checked(x: Column) -> Column:
+        n, m, ease, shown = (x[k] for k in ("n", "m", "ease", "shown"))
+        near = (F.abs(n - t_lo) <= 3) | (F.abs(n - t_hi) <= 3)
+        in_title = F.when(n.between(t_lo, t_hi), 100).when(near, 70).otherwise(30)
+        in_body = F.when((m == 0) | m.between(b_lo, b_hi), 100).when((b_hi <= 1) & (m <= 1), 100).when(m < b_lo, 50).otherwise(40)
+        readable = F.when(m < 20, 100).when(ease.between(50, 85), 100).when(ease.between(40, 90), 70).otherwise(40)
+        anti = {"short title": n < 5, "long title": n > 30, "no body": (b_hi > 1) & x["blank"], "generic": x["generic"] & (m < 50)}
+        bad = F.array_compact(F.array(*[F.when(test, name) for name, test in anti.items()]))
+        free = F.greatest(F.lit(0), 100 - F.size(bad) * 30)
+        advice = [F.when(score < least, text) for score, least, text in ((in_title, 100, "title length"), (in_body, 100, "body length"), (readable, 100, "readability"), (shown, 50, "hook"))]
+        scores = {"title_length": in_title, "body_length": in_body, "readability": readable, "hook": shown, "anti": free}
+        passed = (in_title > 30) & (F.size(bad) == 0)
+        return F.struct(*[v.alias(k) for k, v in scores.items()], F.concat(F.array_compact(F.array(*advice)), bad).alias("suggestions"), passed.alias("passed"))
+
+    return T.bound(F.struct(*[v.alias(k) for k, v in read.items()]), checked)
 
 
 def attribution(title: Column, body: Column, ratio: Column, pattern_rate: Column) -> Column:
     """Why a post failed: the weakest dimension under 50 (`primary`), the next two, up to three actions, and a confidence of
     100 less the mean score within 20 to 90. Time and topic count 60 each; a pattern only where its rate (percent) is below 20."""
-    n, m = T.n_words(F.coalesce(title, F.lit(""))), T.n_words(F.coalesce(body, F.lit("")))
+    counts = F.struct(T.n_words(F.coalesce(title, F.lit(""))).alias("n"), T.n_words(F.coalesce(body, F.lit(""))).alias("m"), ratio.alias("ratio"), pattern_rate.alias("rate"))
+    return T.bound(counts, lambda x: _reasons(x["n"], x["m"], x["ratio"], x["rate"]))
+
+
+def _reasons(n: Column, m: Column, ratio: Column, pattern_rate: Column) -> Column:
+    """attribution() from the words of title and body."""
     scores = {
         "title": F.when(n < 5, 20).when(n > 30, 30).otherwise(70),
         "body": F.when(m < 20, 20).when(m > 1000, 30).otherwise(70),
