@@ -237,3 +237,11 @@ def test_draft_checks_read_a_body_once(spark):
     assert plan.count("[aeiouy]+, 0") <= 1, plan
     plan = df.select(D.attribution(F.col("t"), F.col("b"), F.lit(0.5), F.lit(10)).alias("k")).select("k.primary", "k.confidence")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2, plan
+
+
+def test_patterns_scan_the_texts_once(spark):
+    """What mining reads of the posts is written once; holdout and details then read that table."""
+    posts = S.posts(spark, SF)
+    for plan in (V.holdout(posts, percentile=0.8), registry.QUERIES["a43_pattern_details"](spark, SF)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents" not in text and "regexp_extract(text" not in text

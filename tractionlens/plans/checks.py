@@ -11,6 +11,7 @@ from tractionlens.operators import validation as V
 from tractionlens.plans.more import _HO, _KEYS, _READ, _TPL, _rounded
 from tractionlens.plans.registry import _BW, _CHI, _CL, _FEAT, _TH, _TW, ORACLES, _add, _any, _hits, _q
 from tractionlens.sources import posts as S
+from tractionlens.sources.storage import written
 
 c = F.col
 
@@ -119,8 +120,8 @@ x AS (SELECT *, recall >= 0.4 AND precision >= 0.3 AS backtest_passed, coalesce(
 
 
 def _details(p):
-    f = M.features(p)
-    out = M.detailed(f, M.over_represented(f, 0.8), 0.8)
+    f = V.prepared(p)
+    out = M.detailed(f, written(M.over_represented(f, 0.8), "mined"), 0.8)
     return out.select(*_KEYS.split(", "), "viral", "n", F.coalesce("template", F.lit("")).alias("template"), "t_lo", "t_hi", "b_lo", "b_hi", F.array_join("exemplars", ",").alias("exemplars"), F.array_join("communities", ",").alias("communities"))
 
 
