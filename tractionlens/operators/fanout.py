@@ -23,7 +23,8 @@ def title_measures() -> dict[str, Column]:
 
 
 def body_measures() -> dict[str, Column]:
-    b, read = F.col("body"), T.readability(F.col("body"))
+    """Measures of `body`; `_read` holds its readability(), which two of them name."""
+    b, read = F.col("body"), F.col("_read")
     numbers = {"word_count": T.n_words(b), "paragraph_count": F.regexp_count(b, F.lit("\n\n")) + 1, "grade": F.round(read["grade"] * 100), "ease": F.round(read["ease"] * 100)}
     return {**numbers, **A.body_flags(), "engaging": T.calls_to_answer(b), "narrative": T.narrative_mode(b, with_no_body=False), "opening": T.opening(b)}
 
@@ -49,7 +50,7 @@ def measure_cube(posts: DataFrame) -> DataFrame:
 
     A post is one row until the map side of the count, which meets few distinct values. What is left is as large as the distinct
     values by community, whatever the number of posts."""
-    entries = []
+    entries, posts = [], posts.withColumn("_read", T.readability(F.col("body")))
     for part, (taken, measures, numbers, flags) in PARTS.items():
         found = [
             F.struct(
