@@ -273,3 +273,14 @@ def test_gate_of_tiers(spark):
     assert all(r["backtest_passed"] and r["holdout_passed"] and r["passed"] and r["recall"] == 1.0 for r in got.values())
     matrix = V.transfer_matrix(_posts(spark, *rows), 0.7).collect()
     assert {(r["source_tier"], r["target_tier"]) for r in matrix} == {(a, b) for a in V.TIERS for b in V.TIERS if a != b}
+
+
+def test_snapshots_of_a_post_are_reduced_before_the_sort(spark):
+    """Rows that differ in their score only meet in a hash aggregate; ties, nulls and rows without an id stay as they were."""
+    rows = [("a", "s", u, 1) for u in (3, 9, 5)] + [("a", "t", 9, 0), ("b", "s", None, 2), ("b", "s", None, 2), (None, "s", 4, 3), (None, "s", 4, 3), ("", "s", 1, 4)]
+    df = spark.createDataFrame(rows, "post_id string, subreddit string, upvotes long, seq long")
+    out = C.by_id(df)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([("a", "t", 9, 0), ("b", "s", None, 2), (None, "s", 4, 3), (None, "s", 4, 3), ("", "s", 1, 4)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[max(upvotes" in plan or "functions=[partial_max(upvotes" in plan

@@ -29,7 +29,12 @@ def distinct_by(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def by_id(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """One row per post_id: the highest score, of equal scores the first by `seq`."""
+    """One row per post_id: the highest score, of equal scores the first by `seq`. Rows that differ in their score only, such as
+    snapshots of one post, are reduced to the highest in a hash aggregate first; what is sorted is one row for each post and source."""
+    others = [c for c in df.columns if c != "upvotes"]
+    if "map<" not in df.schema.simpleString():  # maps are no grouping keys
+        named = F.coalesce(F.col("post_id") != "", F.lit(False))
+        df = df.where(named).groupBy(*others).agg(F.max("upvotes").alias("upvotes")).select(*df.columns).unionByName(df.where(~named))
     return distinct_by(df, "post_id", [F.col("upvotes"), -F.col(seq)])
 
 
