@@ -348,3 +348,11 @@ def test_lm_query_counts(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(d), len(ws) + 1, sum(w in counts for w in [*ws, None]), n)
         assert abs(r["base_score"] - sum(np.log10((counts.get(w, 0) + 1) / (n + len(counts) + 1)) for w in [*ws, None])) < 1e-6 * (len(ws) + 1)
         assert np.isfinite(r["score"]) and -12 < r["score"] / r["n_tokens"] < 0
+
+
+def test_tables_between_steps_take_the_denser_codec(spark):
+    """The disk that stages fill is bounded; tables in the shared folder are written with zstd."""
+    from tractionlens.llm.shared import written
+
+    files = written(spark.range(5), "codec").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
