@@ -356,3 +356,44 @@ def test_tables_between_steps_take_the_denser_codec(spark):
 
     files = written(spark.range(5), "codec").inputFiles()
     assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_counting_and_training_tasks_hold_little(spark):
+    """A counting task keeps few chunks, whatever the number of distinct words; a training task takes rows in any order and in pieces."""
+    import pyarrow as pa
+
+    from tractionlens.llm import subwords
+
+    class Tasks:
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def mapInArrow(self, task, schema):
+            self.task = task
+            return spark.createDataFrame([], schema)
+
+        applyInArrow = mapInArrow
+
+    tasks = Tasks()
+    word_counts(tasks, default_path())
+    text = pa.array([" ".join(f"w{i:x}q{i % 7} The the" for i in range(first, first + 5_000)) for first in range(0, 100_000, 5_000)])
+    chunks = lambda: sum(len(e.cache) for e in subwords._ENCODERS.values())
+    before, found = chunks(), {}
+    for out in tasks.task([pa.RecordBatch.from_arrays([text], names=["text"])]):
+        for is_id, w, c, spelled in zip(*(x.to_pylist() for x in out.columns)):
+            if not is_id:
+                assert w not in found
+                found[w] = (c, spelled)
+    assert chunks() - before <= 1 << 16
+    assert len(found) == 100_002 and sum(c for c, _ in found.values()) == 300_020 and found[0][0] == 20
+    assert (200_000, encoder(default_path()).packed(" the")) in found.values()
+
+    rng = np.random.default_rng(1)
+    ids = [rng.integers(0, 50_000, i % 20).astype("<u4").tobytes() for i in range(2_000)]
+    whole = pa.table({"shard": np.zeros(len(ids), np.int32), "w": np.arange(len(ids)), "spelled": pa.array(ids, pa.binary()), "mass": 1.0 + np.arange(len(ids)) % 3})
+    train_rounds(tasks, 4_000, started(np.ones(50_300), 64, 8, 16, 1), 16, 1, 20, 200, 1)
+    mixed = whole.take(pa.array(rng.permutation(len(ids))))
+    pieces = pa.concat_tables([mixed.slice(0, 700), mixed.slice(700, 1), mixed.slice(701)])
+    assert tasks.task((pa.scalar(0),), pieces).equals(tasks.task((pa.scalar(0),), whole))
